@@ -2,7 +2,8 @@
 
 An Aho-Corasick automaton over all known values finds where whole values stand in a text, in their plain form and in the forms that CSV
 and JSON quoting give them. A dynamic program then picks the cheapest cover: known values cost nothing, text that no
-value explains costs by its length, and between two values a delimiter must stand. So delimiters inside a known value never split it.
+value explains costs by its length, and between two values a delimiter must stand ("and" or "&" only after a value that ended there). So
+delimiters inside a known value never split it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 DELIMITERS = frozenset("|;,/\t\r\n•·")
 OPEN, CLOSE, BLANK = frozenset("[{("), frozenset("]})"), frozenset("    ﻿")
+WORDS = (" and ", " & ")
 _FILLER = DELIMITERS | OPEN | CLOSE | BLANK | {'"'}
 
 
@@ -75,6 +77,10 @@ def segment(text: str, known: list[tuple[int, int, int]]) -> list[tuple[str | No
                 reach(p + 1, 1, cost, (p, ready, None))
             elif c in _FILLER:
                 reach(p + 1, ready, cost, (p, ready, None))
+                if c == " " and not ready:
+                    for word in WORDS:
+                        if text.startswith(word, p):
+                            reach(p + len(word), 1, cost + 1, (p, ready, None))
             if ready:
                 for e, i in starts.get(p, ()):
                     reach(e, 0, cost + 1, (p, ready, (None, i)))
