@@ -5,7 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dealweave.llm.encoding import restore_encoding
-from dealweave.session import table
+from dealweave.llm.leakage import leaked_items
+from dealweave.llm.packing import count_tokens, pack
+from dealweave.session import table, written
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's container of 2,048 tokens and its place in it."""
+    counts = written(count_tokens(table(spark, d, "documents"), row_id="doc_id", text="text"), "tokens")
+    return pack(counts, row_id="doc_id", n_tokens="n_tokens")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Each document that carries a passage of a test item, with the longest verbatim match."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p9_clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are left once those with leaked passages are removed."""
+    docs = table(spark, d, "documents")
+    return docs.join(p9_leaks(spark, d).select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "lang", "source")
 
 
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +40,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p8_packed, p9_found, p9_leaks, p9_clean_documents, p10_found, p10_restored)}
 
 ORACLE: dict[str, str] = {}
