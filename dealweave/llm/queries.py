@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dealweave.llm.encoding import restore_encoding
 from dealweave.llm.leakage import leaked_items
 from dealweave.llm.packing import count_tokens, pack
+from dealweave.llm.variants import spelling_pairs
 from dealweave.session import table, written
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    funding, silence = table(spark, d, "funding_events"), table(spark, d, "silence_events")
+    of = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col(f"{kind}_name").alias("name"), F.col(f"{kind}_id").alias("entity"))
+    mentions = of(funding, "investor").unionByName(of(silence, "investor")).unionByName(of(funding, "company"))
+    return spelling_pairs(mentions, kind="kind", name="name", entity_id="entity").distinct()
+
+
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     """Each document's container of 2,048 tokens and its place in it."""
     counts = written(count_tokens(table(spark, d, "documents"), row_id="doc_id", text="text"), "tokens")
@@ -40,6 +49,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p8_packed, p9_found, p9_leaks, p9_clean_documents, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p5_found, p8_packed, p9_found, p9_leaks, p9_clean_documents, p10_found, p10_restored)}
 
 ORACLE: dict[str, str] = {}
