@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import zoneinfo
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,16 +64,16 @@ def _abbreviations(zone: str | None) -> dict[str, int]:
     return out
 
 
-def to_instants(rows: DataFrame, sources: DataFrame, *, row_id: str, text: str, source: str, home_zone: str = "home_zone", day_first: str = "day_first") -> DataFrame:
-    """(row_id, format, epoch_us) for each row: the UTC instant in microseconds that its text denotes.
+def to_instants(rows: DataFrame, sources: DataFrame, *, row_id: str, text: str, source: str, home_zone: str = "home_zone", day_first: str = "day_first", keep: Sequence[str] = ()) -> DataFrame:
+    """(row_id, *keep, format, epoch_us) for each row: the UTC instant in microseconds that its text denotes.
 
     epoch_us is NULL, with format "none", for NULL, blanks, words and impossible dates; with the format's name where the text has a form
     but no instant (31 June, hour 25; no zone in the text and none known for its source). Parts not written are zero; a date
     alone is the start of that day. Ten, thirteen or sixteen figures are seconds, milliseconds or microseconds since 1970. A local
     time that occurs twice is its first occurrence; one that a clock change skips is moved forward by the length of the gap. A weekday
-    in the text isn't checked. Repeated rows are read alike; other columns are ignored; several rows of one source: the smallest zone.
+    in the text isn't checked. Repeated rows are read alike; columns not in keep are ignored; several rows of one source: the smallest zone.
     """
-    t = rows.select(F.col(row_id).alias("_id"), F.regexp_replace(F.trim(F.col(text)), "[\\s\\u00a0]+", " ").alias("_x"), F.col(source).alias("_source"))
+    t = rows.select(F.col(row_id).alias("_id"), F.regexp_replace(F.trim(F.col(text)), "[\\s\\u00a0]+", " ").alias("_x"), F.col(source).alias("_source"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     t = t.join(zone_table(sources, source, home_zone, day_first), "_source", "left")
     is_epoch = F.col("_x").rlike("^\\d{10}(\\d{3}(\\d{3})?)?$")
     parts = F.when(is_epoch, F.concat(F.lit("epoch|"), "_x"))
@@ -86,7 +86,9 @@ def to_instants(rows: DataFrame, sources: DataFrame, *, row_id: str, text: str,
         else:
             parts = parts.when(hit, F.regexp_replace("_x", pattern, order))
     r = _let(F.split(parts.otherwise("none"), "\\|", -1), _read)
-    return t.select("_id", r.alias("_r")).select(F.col("_id").alias(row_id), F.col("_r.format").alias("format"), F.col("_r.us").alias("epoch_us"))
+    kept = [f"_k{i}" for i in range(len(keep))]
+    t = t.select("_id", *kept, r.alias("_r"))
+    return t.select(F.col("_id").alias(row_id), *[F.col(k).alias(c) for k, c in zip(kept, keep)], F.col("_r.format").alias("format"), F.col("_r.us").alias("epoch_us"))
 
 
 def _let(value: Column, body) -> Column:
