@@ -148,3 +148,25 @@ def _drop_acronym(a: list[str], left: list[int], b: list[str], right: list[int])
             left.remove(i)
             del right[at : at + len(a[i])]
             return
+
+
+#: What firms of any name call themselves, and how it is abbreviated.
+GENERIC = frozenset(
+    "partners partner ptnrs prtnrs ptrs capital cap cp ventures venture vent vc vp ncp investments investment invest inv equity equities eq growth grwth gr "
+    "angels angel seed sf fund funds fd systems sys syst technologies technology tech energy enrgy labs lab robotics robotix rob software sw softw health hlth ai".split()
+)
+
+
+def core(name: str) -> str:
+    """What is left of a name across spellings: the skeleton of its longest word, the first letters of its other words, its numbers.
+
+    Generic words are left out unless nothing else is left; short forms of given names stand for the full ones.
+    """
+    words = tokens(name)
+    nums = numerals(words)
+    own = [w for w in words if not _NUMERAL.match(w) or len(w) == 1 and not w.isdigit()]
+    own = [SHORT_NAMES.get(w, w) for w in own if w not in GENERIC] or own
+    if not own:
+        return nums
+    own.sort(key=lambda w: (-len(w), w))
+    return skeleton(own[0]) + "".join(sorted(w[0] for w in own[1:4])) + (f" {nums}" if nums else "")

@@ -8,10 +8,28 @@ from pyspark.sql import functions as F
 from dealweave.llm.encoding import restore_encoding
 from dealweave.llm.leakage import leaked_items
 from dealweave.llm.packing import count_tokens, pack
+from dealweave.llm.repeats import accept, points
 from dealweave.llm.variants import spelling_pairs
+from dealweave.operators.instants import to_instants
 from dealweave.session import table, written
 
 
+def announcement_points(spark: SparkSession, d: str, batches: str = "true") -> tuple[DataFrame, DataFrame]:
+    """The points of the funding events of some batches, and the point of each event."""
+    keep = ["company_name", "company_id", "investor_name", "investor_id", "round_type", "source_url", "ingested_at"]
+    timed = to_instants(table(spark, d, "funding_events").filter(batches), table(spark, d, "feed_sources"), row_id="event_id", text="announced_at", source="source", keep=keep)
+    return points(
+        timed, row_id="event_id", company="company_name", company_id="company_id", investor="investor_name", investor_id="investor_id",
+        round_type="round_type", url="source_url", time_us="epoch_us", arrived="ingested_at",
+    )
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each event that repeats an earlier one, with the first of its announcement."""
+    found, _ = accept(*announcement_points(spark, d))
+    return found.select(F.col("first").alias("event_id_a"), F.col("row").alias("event_id_b")).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     funding, silence = table(spark, d, "funding_events"), table(spark, d, "silence_events")
     of = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col(f"{kind}_name").alias("name"), F.col(f"{kind}_id").alias("entity"))
@@ -49,6 +67,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p8_packed, p9_found, p9_leaks, p9_clean_documents, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p8_packed, p9_found, p9_leaks, p9_clean_documents, p10_found, p10_restored)}
 
 ORACLE: dict[str, str] = {}
