@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from dealweave.llm.encoding import restore_encoding
 from dealweave.llm.leakage import leaked_items
 from dealweave.llm.packing import count_tokens, pack
-from dealweave.llm.repeats import accept, points
+from dealweave.llm.linkage import link_companies
+from dealweave.llm.repeats import accept, points, round_key
 from dealweave.llm.variants import spelling_pairs
 from dealweave.operators.instants import to_instants
 from dealweave.session import table, written
@@ -30,6 +31,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("first").alias("event_id_a"), F.col("row").alias("event_id_b")).distinct()
 
 
+def p3_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Each event without company_id and the company of objects that it is about, with a confidence."""
+    keep = ["company_name", "company_id", "investor_id", "round_type", "amount_usd", "sector", "country", "source_url"]
+    timed = to_instants(table(spark, d, "funding_events"), table(spark, d, "feed_sources"), row_id="event_id", text="announced_at", source="source", keep=keep)
+    companies = table(spark, d, "objects").filter("id like 'c:%'")
+    return link_companies(timed.withColumn("round", round_key(F.col("round_type"))), companies, table(spark, d, "sector_bridge"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_linked(spark, d).select("event_id", "object_id").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     funding, silence = table(spark, d, "funding_events"), table(spark, d, "silence_events")
     of = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col(f"{kind}_name").alias("name"), F.col(f"{kind}_id").alias("entity"))
@@ -67,6 +80,6 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_restored(spark, d).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p8_packed, p9_found, p9_leaks, p9_clean_documents, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_linked, p5_found, p8_packed, p9_found, p9_leaks, p9_clean_documents, p10_found, p10_restored)}
 
 ORACLE: dict[str, str] = {}
