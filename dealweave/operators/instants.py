@@ -25,7 +25,7 @@ _HALF = "(?: ?([AaPp])\\.?[Mm]\\.?)?"
 
 #: (name, pattern, parts). In parts, A and B are the first and second figure of a date whose order the source decides.
 CASCADE = (
-    ("iso", f"^(\\d{{4}})-(\\d{{1,2}})-(\\d{{1,2}})(?:[Tt ] ?{_CLOCK})?(?: ?{_ZONE})?(?:\\[[A-Za-z_/+-]+\\])?$", "$1|$2|$3|$4|$5|$6|$7||$8"),
+    ("iso", f"^(\\d{{4}})-(\\d{{1,2}})-(\\d{{1,2}})(?:[Tt ] ?{_CLOCK})?(?: ?{_ZONE}(?:\\[[A-Za-z_/+-]+\\])?)?$", "$1|$2|$3|$4|$5|$6|$7||$8"),
     ("iso_zone", f"^(\\d{{4}})-(\\d{{1,2}})-(\\d{{1,2}})[Tt ]{_CLOCK} ?\\[{_ZONE}\\]$", "$1|$2|$3|$4|$5|$6|$7||$8"),
     ("compact", "^(\\d{4})(\\d{2})(\\d{2})T(\\d{2})(\\d{2})(\\d{2})?(Z|[+-]\\d{2}:?\\d{2})?$", "$1|$2|$3|$4|$5|$6|||$7"),
     ("mail", f"^{_WEEKDAY}(\\d{{1,2}}) {_MONTH} (\\d{{4}})(?:,? {_CLOCK}{_HALF})?(?: {_ZONE})?$", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),

@@ -65,7 +65,7 @@ def trailing_totals(
     else:
         ends = daily.groupBy(*keys).agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
         if until == "span":
-            every = ends.select(*keys, F.explode(F.sequence(F.floor(F.col("_lo") / span), F.floor(F.col("_hi") / span))).cast("int").alias("_b"), "_lo", "_hi")
+            every = ends.select(*keys, F.explode(F.sequence(F.floor(F.col("_lo") / span).cast("int"), F.floor(F.col("_hi") / span).cast("int"))).alias("_b"), "_lo", "_hi")
             blocks = every.join(blocks, [*keys, "_b"], "left")
         else:
             blocks = blocks.join(ends, keys)
