@@ -161,14 +161,14 @@ class Model:
         return out
 
     def ratios(self, left: str, s: str, right: str) -> list[tuple[tuple[int, ...], str, float]]:
-        """(chains, restored, log ratio of restored to s), where it is positive."""
+        """(chains, restored, log ratio of restored to s), where it is above -3."""
         key = (left, s, right)
         if key not in self.cache:
             if len(self.cache) > 300_000:
                 self.cache.clear()
             own = self.of(left, s, right)
             scored = ((ks, r, 20.0 if ks[0] == LOST else self.of(left, r, right) - own) for ks, r in candidates(s))
-            self.cache[key] = [x for x in scored if x[2] > 0]
+            self.cache[key] = [x for x in scored if x[2] > -3]
         return self.cache[key]
 
     def share(self, source: int, chain: int) -> float:
@@ -209,7 +209,7 @@ def _counted(seen: Counter) -> Iterator[pa.RecordBatch]:
 
 def _posterior(model: Model, source: int, a: str, s: str, z: str) -> tuple[float, list[tuple[int, str, float]]]:
     """The probability that a stretch stands as written, and that of each chain."""
-    found = model.ratios(a, s, z)
+    found = [x for x in model.ratios(a, s, z) if x[2] > 0]
     if not found:
         return 1.0, []
     shares = [[model.share(source, k) for k in ks] for ks, _, _ in found]
@@ -239,8 +239,8 @@ def _expect(units: DataFrame, model: Model | None) -> Model:
                     clean, garbled = _posterior(m, at, a, s, z)
                 for text, w in [(s, clean), *((r, w) for k, r, w in garbled if k < LOST and "�" not in r)]:
                     if w > 1e-6:
-                        # A stretch counts by the root of its number: a phrase repeated without end must not drown the rest.
-                        w *= math.sqrt(n)
+                        # A stretch counts by less than its number: a phrase repeated without end must not drown the rest.
+                        w *= n**0.75
                         for x, y in bigrams(a, text, z):
                             out[0, pair(x, y), 0] += w
                             out[1, ord(x) % SINGLES, 0] += w
@@ -280,7 +280,7 @@ def judge(model: Model, source: int, text: str, least: float = 0.5) -> tuple[int
     scores: dict[int, float] = defaultdict(float)
     for a, s, z in stretches(text):
         for ks, _, r in model.ratios(a, s, z):
-            for k in ks:
+            for k in ks if r > 0 else ():
                 scores[k] += max(0.0, r - math.log(2))  # a stretch of a garbled record may itself be untouched
     if not scores:
         return None
@@ -307,7 +307,7 @@ def judge(model: Model, source: int, text: str, least: float = 0.5) -> tuple[int
     return best, 1 - clean / whole, STRETCH.sub(mend, text) if best < LOST else text
 
 
-def restore_encoding(rows: DataFrame, *, row_id: str, text: str, source: str, steps: int = 4, least: float = 0.05) -> DataFrame:
+def restore_encoding(rows: DataFrame, *, row_id: str, text: str, source: str, steps: int = 4, least: float = 0.3) -> DataFrame:
     """(row_id, chain, posterior, restored): one row for each record that has a garbled stretch with a probability of at least `least`.
 
     restored is the text with its garbled stretches mended as far as the chain can be undone; chain names it, "lost bytes" meaning that

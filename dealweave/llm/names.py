@@ -102,13 +102,13 @@ def alike(a: str, b: str) -> float:
         return 0.95
     if len(a) == 1:
         return 0.8 if a in (b[0], y[0]) else 0.0
+    if a[0] == b[0] and (b.startswith(a) or (not set(a[1:]) & set("aeiou") and _within(a, b))):
+        return 0.85
     n = len(b)
     if n >= 4:
         most = 1 if n < 7 else 2
         if (d := edits(a, b, most)) <= most:
             return 1.0 - d / max(n, 6)
-    if a[0] == b[0] and (b.startswith(a) or (not set(a[1:]) & set("aeiou") and _within(a, b))):
-        return 0.85
     return 0.0
 
 
