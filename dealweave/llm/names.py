@@ -124,7 +124,7 @@ def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) ->
     if "".join(a) == "".join(b):
         return 1.0
     left, right = list(range(len(a))), list(range(len(b)))
-    total = 0.0
+    total = matched = 0.0
     pairs = sorted(((alike(x, y), min(wa[i], wb[j]), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
     for s, w, i, j in pairs:
         if s > 0 and i in left and j in right:
@@ -132,11 +132,13 @@ def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) ->
             right.remove(j)
             # A mistyped word is rarer than the word that is meant: it weighs what the other weighs.
             total += s * w * w
+            matched += w * w
     _drop_acronym(a, left, b, right)
     _drop_acronym(b, right, a, left)
+    rest_a, rest_b = sum(wa[i] ** 2 for i in left), sum(wb[j] ** 2 for j in right)
     if left and right:  # each says something that the other doesn't
         total -= 2.0 * min(max(wa[i] for i in left), max(wb[j] for j in right)) ** 2
-    return total / max((sum(w * w for w in wa) * sum(w * w for w in wb)) ** 0.5, 1e-9)
+    return total / max(((matched + rest_a) * (matched + rest_b)) ** 0.5, 1e-9)
 
 
 def _drop_acronym(a: list[str], left: list[int], b: list[str], right: list[int]) -> None:
