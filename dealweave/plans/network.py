@@ -210,12 +210,12 @@ def tps_leaders(spark: SparkSession, d: str) -> DataFrame:
     return tps_static(spark, d).select("investor", "tps").orderBy(F.desc("tps"), "investor").limit(20)
 
 
-EXPANDING = """at as (select eval_date, source, target, sum(weight) as raw, round(sum(weight), 6) as w from edges join quarters on source_date <= eval_date group by 1, 2, 3),
-ends as (select eval_date, target as node, w as iw from at union all select eval_date, source, 0 from at),
+EXPANDING = """att as (select eval_date, source, target, sum(weight) as raw, round(sum(weight), 6) as w from edges join quarters on source_date <= eval_date group by 1, 2, 3),
+ends as (select eval_date, target as node, w as iw from att union all select eval_date, source, 0 from att),
 rk as (select eval_date, node, sum(iw) as iw from ends group by 1, 2),
 ct as (select eval_date, quantile_cont(iw, 0.8) as cut, max(iw) as most from rk group by 1),
 tr as (select eval_date, node, iw >= cut as in_top_tier, iw / most as in_rank from rk join ct using (eval_date)),
-rw as (select at.eval_date, source as investor, sum(raw * in_rank) as tps_raw from at join tr on tr.eval_date = at.eval_date and node = target and in_top_tier group by 1, 2),
+rw as (select att.eval_date, source as investor, sum(raw * in_rank) as tps_raw from att join tr on tr.eval_date = att.eval_date and node = target and in_top_tier group by 1, 2),
 pz as (select eval_date, source as investor, count(distinct company) as size from edges join quarters on source_date <= eval_date group by 1, 2),
 panel as (select rw.eval_date, rw.investor, tps_raw / size as tps, in_top_tier from rw join pz using (eval_date, investor) join tr on tr.eval_date = rw.eval_date and node = rw.investor)"""
 
