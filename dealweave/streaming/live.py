@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from dealweave.sources.files import upsert_path
 
@@ -45,49 +46,33 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) ->
 SEAT = "company string, investor string, series_a timestamp, series_b timestamp, is_silent boolean"
 
 
-class PendingSilences(StatefulProcessor):
-    """Per company: waits for a later round after an earlier one; tells at its coming, or when it is overdue, who is absent from it."""
-
-    def __init__(self, overdue_ms: int):
-        self.overdue_ms = overdue_ms
+def pending_silences(events: DataFrame, overdue_days: float, late: str = "1 hour") -> DataFrame:
+    """(company, investor, series_a, series_b, is_silent) of events (ts, company, investor, kind), each seat told once its time is over.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getMapState("first", "investor string", "ms long")
-        self.later = handle.getMapState("later", "investor string", "ms long")
-        self.told = handle.getMapState("told", "investor string", "ms long")
+    Per company the first time of each investor in an earlier and in a later round is kept; a seat of the earlier round is judged once the
+    watermark has passed its overdue time, by what came until then.
+    """
+    wait = int(overdue_days * 86_400_000)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {"first": {}, "later": {}, "told": []}
+        for pdf in batches:
             for investor, kind, ts in zip(pdf["investor"], pdf["kind"], pdf["ts"]):
-                ms = int(pd.Timestamp(ts).timestamp() * 1000)
-                state = self.first if kind == "series-a" else self.later
-                if not state.containsKey((investor,)):
-                    state.updateValue((investor,), (ms,))
-                    if kind == "series-a":
-                        self.handle.registerTimer(ms + self.overdue_ms)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
-        now, out = expired.getExpiryTimeInMs(), []
-        later = {k[0]: v[0] for k, v in self.later.iterator()}
-        came = min(later.values(), default=None)
-        for k, v in list(self.first.iterator()):
-            if v[0] + self.overdue_ms <= now and not self.told.containsKey(k):
-                at = None if came is None else pd.Timestamp(came, unit="ms")
-                out.append((key[0], k[0], pd.Timestamp(v[0], unit="ms"), at, k[0] not in later))
-                self.told.updateValue(k, (now,))
+                if investor is not None:
+                    seen, ms = kept["first" if kind == "series-a" else "later"], int(pd.Timestamp(ts).timestamp() * 1000)
+                    seen[investor] = min(ms, seen.get(investor, ms))
+        now, out, told = state.getCurrentWatermarkMs(), [], set(kept["told"])
+        came = min(kept["later"].values(), default=None)
+        for investor, ms in sorted(kept["first"].items()):
+            if ms + wait <= now and investor not in told:
+                out.append((key[0], investor, pd.Timestamp(ms, unit="ms"), None if came is None else pd.Timestamp(came, unit="ms"), investor not in kept["later"]))
+                told.add(investor)
+        kept["told"] = sorted(told)
+        state.update((json.dumps(kept),))
+        due = [ms + wait for investor, ms in kept["first"].items() if investor not in told]
+        if due:
+            state.setTimeoutTimestamp(max(min(due), now + 1))
         if out:
             yield pd.DataFrame(out, columns=["company", "investor", "series_a", "series_b", "is_silent"])
 
-    def close(self) -> None:
-        pass
-
-
-def pending_silences(events: DataFrame, overdue_days: float, late: str = "1 hour") -> DataFrame:
-    """(company, investor, series_a, series_b, is_silent) of events (ts, company, investor, kind), each seat told once its time is over."""
-    return (
-        events.withWatermark("ts", late)
-        .groupBy("company")
-        .transformWithStateInPandas(PendingSilences(int(overdue_days * 86_400_000)), SEAT, outputMode="Append", timeMode="EventTime")
-    )
+    return events.withWatermark("ts", late).groupBy("company").applyInPandasWithState(step, SEAT, "kept string", "append", "EventTimeTimeout")
