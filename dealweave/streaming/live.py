@@ -13,9 +13,9 @@ from pyspark.sql.streaming.state import GroupState
 from dealweave.sources.files import upsert_path
 
 
-def read_events(spark: SparkSession, path: str, schema: str, per_trigger: int = 16) -> DataFrame:
-    """Events from files as they are dropped into a folder; ts becomes an instant."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+def read_events(spark: SparkSession, path: str, schema: str, per_trigger: int = 16, names: str = "*") -> DataFrame:
+    """Events from files as they are dropped into a folder, those whose names match; ts becomes an instant."""
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", names).parquet(path)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
