@@ -154,16 +154,46 @@ def approximate_diameter(und: DataFrame, sources: int = 8) -> DataFrame:
     return bfs(und, start).agg(F.max("dist").alias("approximate_diameter"))
 
 
-def exact_paths(und: DataFrame, most_nodes: int = 3000) -> DataFrame:
-    """One row: diameter and mean distance over the largest component; raises where it has more than most_nodes nodes."""
+def exact_paths(und: DataFrame, most_nodes: int = 200_000) -> DataFrame:
+    """One row: diameter and mean distance over the largest component; raises where it has more than most_nodes nodes.
+
+    The component (bounded by most_nodes) goes to the tasks as numbers; each takes breadth-first search from 64 nodes at once, a bit for each.
+    """
     comp = weak_components(und.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component").limit(1)
     big = comp.join(F.broadcast(sizes), "component").select("node", "size")
     size = (sizes.first() or {"size": 0})["size"]
     if size > most_nodes:
         raise ValueError(f"the largest component has {size} nodes; distances between all are taken up to {most_nodes}")
-    inside = und.join(big.select(F.col("node").alias("a")), "a", "left_semi")
-    return bfs(inside, big.select("node")).filter("dist > 0").agg(F.max("dist").alias("diameter"), F.avg("dist").alias("mean_distance"))
+    spark = und.sparkSession
+    if size < 2:
+        return spark.createDataFrame([(None, None)], "diameter int, mean_distance double")
+    at = written(big.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("i")), "numbered")
+    inside = und.filter("a <> b").join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").select("x", "y").toArrow()
+    x, y = inside.column("x").to_numpy(), inside.column("y").to_numpy()
+    src, dst = np.concatenate([x, y]), np.concatenate([y, x])
+    order = np.argsort(src, kind="stable")
+    sent = spark.sparkContext.broadcast((np.searchsorted(src[order], np.arange(size)), dst[order].astype(np.int32)))  # every node of it has a neighbour
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts, ends = sent.value
+        for pdf in batches:
+            for block in pdf["id"]:
+                source = np.arange(64 * block, min(64 * block + 64, size))
+                seen = np.zeros(size, np.uint64)
+                seen[source] = np.uint64(1) << np.arange(len(source), dtype=np.uint64)
+                front, dist, total, pairs = seen, 0, 0, 0
+                while len(ends):
+                    front = np.bitwise_or.reduceat(front[ends], starts) & ~seen
+                    n = int(np.bitwise_count(front).sum())
+                    if not n:
+                        break
+                    dist, pairs, total, seen = dist + 1, pairs + n, total + n * (dist + 1), seen | front
+                yield pd.DataFrame({"most": [dist], "total": [total], "pairs": [pairs]})
+
+    blocks = -(-size // 64)
+    by = spark.range(0, blocks, 1, min(blocks, 200)).mapInPandas(run, "most int, total long, pairs long")
+    return by.agg(F.max("most").alias("diameter"), (F.sum("total") / F.sum("pairs")).alias("mean_distance"))
 
 
 def pagerank(graph: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
@@ -197,27 +227,20 @@ def eigenvector(graph: DataFrame, rounds: int = 30) -> DataFrame:
 
 
 def core_numbers(und: DataFrame, most: int = 100_000) -> DataFrame:
-    """(node, core): each node's core number, by peeling whole layers of nodes of degree at most k."""
-    left, done, k = written(und.select("a", "b"), "core"), None, 1
+    """(node, core): each node's core number, the fixed point of taking the greatest h with h neighbours at h or more, from the degrees on."""
+    both = und.select("a", "b").union(und.filter("a <> b").select("b", "a")).toDF("node", "next").distinct()
+    both = written(both, "adjacent")
+    core = written(both.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("core")), "core")
     for _ in range(most):
-        both = left.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-        low = written(both.groupBy("node").agg(F.min("deg").alias("deg")), "layer")
-        least = low.agg(F.min("deg")).first()[0]
-        if least is None:
+        near = both.join(core.toDF("next", "v"), "next").groupBy("node", "v").agg(F.count(F.lit(1)).alias("n"))
+        above = F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("v")))
+        h = near.select("node", F.least("v", above).alias("h")).groupBy("node").agg(F.max("h").cast("int").alias("h"))
+        core = written(core.join(h, "node").select("node", "h", (F.col("h") < F.col("core")).alias("moved")), "core")
+        moved = core.filter("moved").limit(1).count()
+        core = core.select("node", F.col("h").alias("core"))
+        if not moved:
             break
-        k = max(k, least)
-        peeled = low.filter(F.col("deg") <= k).select("node")
-        layer = peeled.withColumn("core", F.lit(k))
-        done = layer if done is None else done.unionByName(layer)
-        rest = left.join(peeled.withColumnRenamed("node", "a"), "a", "left_anti").join(peeled.withColumnRenamed("node", "b"), "b", "left_anti")
-        gone = low.filter(F.col("deg") > k).select("node")
-        left = written(rest.select("a", "b"), "core")
-        # Nodes that lost all their edges in this layer belong to it.
-        now = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        done = done.unionByName(gone.join(now, "node", "left_anti").withColumn("core", F.lit(k)))
-    if done is None:
-        return und.select(F.col("a").alias("node"), F.lit(0).alias("core")).limit(0)
-    return done
+    return core
 
 
 def percolation(und: DataFrame, hubs: int = 20) -> DataFrame:

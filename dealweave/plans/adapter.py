@@ -35,7 +35,7 @@ def graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def small_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The graph of the deals of one country, for operators whose cost grows faster than the graph."""
+    """The graph of the deals of two countries: what the SQL of lnk_missing says."""
     return ops.assemble(ops.temporal_edges(deals(spark, d).filter("country_code in ('NATION_1', 'NATION_2')")))
 
 

@@ -117,7 +117,7 @@ def gra_approximate_diameter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gra_exact_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _r(graph.exact_paths(written(deal_ops.undirected(a.small_graph(spark, d)), "und")), "mean_distance")
+    return _r(graph.exact_paths(written(deal_ops.undirected(a.graph(spark, d)), "und")), "mean_distance")
 
 
 @query()
@@ -138,7 +138,7 @@ def gra_eigenvector(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gra_cores(spark: SparkSession, d: str) -> DataFrame:
-    return graph.core_numbers(deal_ops.undirected(a.small_graph(spark, d)))
+    return graph.core_numbers(deal_ops.undirected(a.graph(spark, d)))
 
 
 @query()
@@ -158,7 +158,7 @@ def gra_largest_clique(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gra_louvain(spark: SparkSession, d: str) -> DataFrame:
-    return graph.louvain(deal_ops.undirected(a.small_graph(spark, d)), rounds=6, levels=2)
+    return graph.louvain(deal_ops.undirected(a.graph(spark, d)))
 
 
 @query(
@@ -297,6 +297,6 @@ def sim_contagion(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sim_greedy_seeds(spark: SparkSession, d: str) -> DataFrame:
-    g = written(a.small_graph(spark, d), "graph")
+    g = written(a.graph(spark, d), "graph")
     picked = diffusion.greedy_influence(g, graph.top_nodes(g, 10), 2, 0.1, sims=3, rounds=3)
     return spark.createDataFrame(list(enumerate(picked, 1)), "place int, node string")
