@@ -1,9 +1,10 @@
 """Spellings of one name linked to each other.
 
 A set-similarity join with prefix filtering over the distinct names. A name's tokens, rarest first, are its weighted set; only its prefix
-(its two rarest tokens, and all of them written as one) is indexed whole, and the rarest token also by pairs of its rarest q-grams, so that a mistyped rare token still
-meets the right one. What meets is verified by soft weighted token similarity, in which rare tokens count more. Verified links make components, and
-the spellings of a component are its pairs. Where ids are known, they have the last word on a pair: two names known only under different ids are
+(its two rarest tokens, and all of them written as one) is indexed whole. Words that are alike meet once, as words, so that a mistyped rare token still
+meets the right one. All names that share their rarest token meet; names that share a second one meet if the rarest token of one is alike to a token
+of the other, for what differs in both rarest tokens is not similar. What meets is verified by soft weighted token similarity, in which rare
+tokens count more. Verified links make components, and the spellings of a component are its pairs. Where ids are known, they have the last word on a pair: two names known only under different ids are
 not linked.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealweave.operators.components import components
-from dealweave.llm.names import SHORT_NAMES, numerals, similarity, tokens
+from dealweave.llm.names import SHORT_NAMES, alike, numerals, similarity, tokens
 from dealweave.session import written
 
 
@@ -31,7 +32,74 @@ def grams(word: str) -> list[str]:
     return out
 
 
-def spelling_links(names: DataFrame, *, least: float = 0.65, lost_grams: int = 4) -> tuple[DataFrame, DataFrame]:
+#: Words up to LONG letters meet by what two deletions leave of them, those from LONG - 2 letters on by pairs of their rarest grams.
+LONG, VOWELS = 14, frozenset("aeiou")
+
+
+def left_by_deletions(word: str) -> set[str]:
+    """The word and what one deletion leaves of it, from five letters on also two: words within two edits (one up to six letters) share one of these."""
+    one = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return {word} | one | ({w[:i] + w[i + 1 :] for w in one for i in range(len(w))} if len(word) >= 5 else set())
+
+
+def _keyed(words: DataFrame, keys) -> DataFrame:
+    """(w, key) of words (w): keys(word) are its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for i, w in enumerate(b.column("w").to_pylist()):
+                own = sorted(keys(w))
+                at += [i] * len(own)
+                out += own
+            yield pa.RecordBatch.from_arrays([b.column("w").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["w", "key"])
+
+    return words.select("w").mapInArrow(run, "w string, key string")
+
+
+def alike_words(words: DataFrame, lost_grams: int = 8) -> DataFrame:
+    """(x, y, edited): each two different words of a table (w) that are alike, in both orders; edited where they meet as edits of each other.
+
+    Two edits, swaps among them, leave no more than lost_grams grams of a word without a partner.
+    """
+    short = _keyed(words.filter(F.length("w").between(3, LONG)), left_by_deletions)
+    long_ = _keyed(words.filter(F.length("w") >= LONG - 1), grams)
+    df = long_.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    prefix = long_.join(df, "key").groupBy("w").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "key"))), 1, lost_grams + 2)["key"].alias("g"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for i, g in enumerate(b.column("g").to_pylist()):
+                own = [f"{x}\x1f{y}" for x, y in combinations(sorted(g), 2)]
+                at += [i] * len(own)
+                out += own
+            yield pa.RecordBatch.from_arrays([b.column("w").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["w", "key"])
+
+    posted = short.unionByName(prefix.mapInArrow(pairs, "w string, key string")).select("w", F.xxhash64("key").alias("k"))
+    x, y = posted.toDF("x", "k"), posted.toDF("y", "k")
+    edited = x.join(y, "k").filter((F.col("x") < F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= 2)).filter(F.levenshtein("x", "y", 4) >= 0).select("x", "y").distinct()
+
+    # Short forms, beginnings, plurals, initials and what is written without vowels.
+    def whole(w: str) -> set[str]:
+        return {f"n{SHORT_NAMES.get(w, w)}", f"b{w}"} | ({f"v{w[:2]}"} if len(w) > 1 and not set(w[1:]) & VOWELS else set()) | ({f"b{w[:-1]}ies"} if w[-1:] == "y" else set())
+
+    def parts(w: str) -> set[str]:
+        n = SHORT_NAMES.get(w, w)
+        return {f"n{n}", f"b{n[:1]}", f"b{w}"} | {f"b{w[:i]}" for i in range(1, len(w))} | {f"v{w[0]}{c}" for c in w[1:]}
+
+    formed = _keyed(words, whole).toDF("x", "k").join(_keyed(words, parts).toDF("y", "k"), "k").filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    met = edited.withColumn("edited", F.lit(True)).unionByName(formed.withColumn("edited", F.lit(False))).groupBy("x", "y").agg(F.max("edited").alias("edited"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([alike(*w) > 0 for w in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], pa.bool_()))
+
+    one = met.mapInArrow(verify, "x string, y string, edited boolean")
+    return written(one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"), "edited")), "alike")
+
+
+def spelling_links(names: DataFrame, *, least: float = 0.65) -> tuple[DataFrame, DataFrame]:
     """(names with features, links) of a table (kind, name, ids, n): see spelling_pairs."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,57 +119,40 @@ def spelling_links(names: DataFrame, *, least: float = 0.65, lost_grams: int = 4
     )
     features = written(features, "features")
 
-    # The prefix: the two rarest tokens. All names of a token meet the one name of it that occurs most.
-    token = features.select("id", "kind", "nums", "n", F.explode(F.slice("t", 1, 2)).alias("x")).filter("x.df > 1").select("id", "kind", "nums", "n", "x.w")
-    joined = n.select("id", "kind", "nums", "n", F.col("joined").alias("w"))
-    token = token.unionByName(joined)
-    center = token.groupBy("kind", "nums", "w").agg(F.max_by("id", F.struct("n", "id")).alias("center"))
-    starred = token.join(center, ["kind", "nums", "w"]).filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b"))
-
-    # The q-grams of the rarest token, under the first letters of the next two tokens.
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, gram = [], []
-            for i, w in enumerate(b.column("w").to_pylist()):
-                if len(w) >= 4:
-                    gram += (g := sorted(set(grams(w))))
-                    at += [i] * len(g)
-            yield pa.RecordBatch.from_arrays([b.column("w").take(pa.array(at, pa.int64())), pa.array(gram, pa.string())], names=["w", "g"])
-
+    # The prefix: the two rarest tokens. All names of a token meet of which one has it as its rarest, and all that are the same written as one.
+    own = ["id", "kind", "nums"]
+    token = written(features.select(*own, F.col("t")["w"].alias("all"), F.posexplode(F.slice("t", 1, 2)).alias("place", "x")).filter("x.df > 1").select(*own, "all", "place", F.col("x.w").alias("w")), "prefixes")
+    pair = lambda x, y, on: x.toDF("a", *x.columns[1:]).join(y.toDF("b", *y.columns[1:]), on).filter("a <> b").select("a", "b")
+    whole = n.select(*own, "joined")
+    shared = pair(token.filter("place = 0").select(*own, "w"), token.select(*own, "w"), ["kind", "nums", "w"]).unionByName(pair(whole, whole, ["kind", "nums", "joined"]))
+    # Of more than eight tokens, so many may agree that two rarest ones are outweighed.
+    long_ = token.filter("size(all) > 8").select(*own, "w")
+    shared = shared.unionByName(pair(long_, long_, ["kind", "nums", "w"]))
+
+    # A second token brings together what also has the rarest token of one, or a word that is alike to it.
+    near = alike_words(features.select(F.explode(F.col("t")["w"]).alias("w")).distinct())
+    by_second = token.filter("place = 1").select(*own, F.col("all")[0].alias("x"), "w")
+    by_second = by_second.join(near.select("x", "y"), "x").drop("x").unionByName(by_second.withColumnRenamed("x", "y").select(*own, "w", "y"))
+    others = token.select(*own, "w", F.explode("all").alias("y")).filter("w <> y")
+    shared = shared.unionByName(pair(by_second.select(*own, "w", "y"), others, ["kind", "nums", "w", "y"]))
+
+    # The edits of the rarest token, under the first letters of the next two tokens.
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, c = [], []
             for i, after in enumerate(b.column("after").to_pylist()):
-                own = {SHORT_NAMES.get(x, x)[:1] for x in after} or {""}
-                at += [i] * len(own)
-                c += sorted(own)
+                first = {SHORT_NAMES.get(x, x)[:1] for x in after} or {""}
+                at += [i] * len(first)
+                c += sorted(first)
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(x).take(at) for x in ("id", "kind", "nums", "n", "w")), pa.array(c, pa.string())], names=["id", "kind", "nums", "n", "w", "c"])
-
-    rare = features.select("id", "kind", "nums", "n", F.col("t")[0]["w"].alias("w"), F.slice(F.col("t")["w"], 2, 2).alias("after"))
-    rare = rare.mapInArrow(contexts, "id long, kind string, nums string, n long, w string, c string")
-    # Names that share rare token and context are already starred; one of them stands for all.
-    rare = written(rare.groupBy("kind", "nums", "w", "c").agg(F.max_by("id", F.struct("n", "id")).alias("id")), "rare")
-    word_grams = rare.select("w").distinct().mapInArrow(keys, "w string, g string")
-    gram_df = word_grams.groupBy("g").agg(F.count(F.lit(1)).alias("gdf"))
-    by_word = word_grams.join(gram_df, "g").groupBy("w").agg(F.sort_array(F.collect_list(F.struct("gdf", "g"))).alias("gs"))
-    prefix = F.transform(F.slice("gs", 1, lost_grams + 2), lambda x: x["g"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, key = [], []
-            for i, g in enumerate(b.column("gs").to_pylist()):
-                own = [f"{x}\x1f{y}" for x, y in combinations(sorted(g), 2)]
-                at += [i] * len(own)
-                key += own
-            yield pa.RecordBatch.from_arrays([b.column("w").take(pa.array(at, pa.int64())), pa.array(key, pa.string())], names=["w", "key"])
+            yield pa.RecordBatch.from_arrays([*(b.column(x).take(at) for x in (*own, "w")), pa.array(c, pa.string())], names=[*own, "w", "c"])
 
-    indexed = by_word.select("w", prefix.alias("gs")).mapInArrow(pairs, "w string, key string")
-    posted = rare.join(indexed, "w").select("id", "w", F.xxhash64("kind", "nums", "c", "key").alias("k"))
-    met = posted.alias("x").join(posted.alias("y"), "k").filter("x.id < y.id and x.w <> y.w and abs(length(x.w) - length(y.w)) <= 2")
-    near = met.filter(F.levenshtein(F.col("x.w"), F.col("y.w"), 2) >= 0).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    rare = features.select(*own, F.col("t")[0]["w"].alias("w"), F.slice(F.col("t")["w"], 2, 2).alias("after"))
+    rare = written(rare.mapInArrow(contexts, "id long, kind string, nums string, w string, c string"), "rare")
+    mistyped = rare.join(near.filter("edited and x < y").select(F.col("x").alias("w"), "y"), "w").select(*own, "c", "y")
+    shared = shared.unionByName(pair(mistyped, rare.select(*own, "c", F.col("w").alias("y")), ["kind", "nums", "c", "y"]))
 
-    candidates = starred.unionByName(near).distinct()
+    candidates = shared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     f = features.select("id", F.col("t")["w"].alias("w"), F.col("t")["wt"].alias("wt"))
     with_both = candidates.join(f.toDF("a", "wa", "ta"), "a").join(f.toDF("b", "wb", "tb"), "b")
 
