@@ -3,8 +3,8 @@
 A delivery is a point in a metric space: its distance from another is the largest of the edit distance of the companies' name cores, that of
 the investors' (both in units of their radius), the time between them (in units of the window) and, if their rounds differ, infinity. The
 history keeps a pivot-distance table: of each accepted point the distances to fixed pivots (the epoch for time, fixed strings for cores). A new
-point is compared only where, by the triangle inequality, the pivots allow a distance within the radius: joins are range-partitioned by bands of
-pivot distances, the remaining pivots prune what meets, then the true distance is computed. Accepted points are appended.
+point is compared with those whose company's core is within the radius of its own (cores meet as distinct strings, by what deletions leave of them) and,
+in bands of pivot distances, with those of its investor; the pivots prune what meets, then the true distance is computed. Accepted points are appended.
 
 Deliveries that agree in every key within one hour are one point from the start, so a group of copies, however large, is never compared with itself.
 """
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from dealweave.operators.components import components
 from dealweave.llm.names import core
+from dealweave.llm.variants import left_by_deletions
 from dealweave.session import written
 
 HOUR = 3_600_000_000
@@ -87,6 +88,24 @@ def _near(value: Column, radius: int) -> Column:
     return F.array_distinct(F.array(F.floor((value - radius) / w), F.floor((value + radius) / w)))
 
 
+def _near_cores(cores: DataFrame) -> DataFrame:
+    """(m, k): each core of a table (c) with itself and all that _pairs may take for it; none is lost up to a radius of 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for i, c in enumerate(b.column("c").to_pylist()):
+                n = len(c)
+                own = (left_by_deletions(c, 7) if n <= 20 else set()) | ({f"\x04{k}" for k in (n - 1, n, n + 1)} if n >= 19 else set())
+                at += [i] * len(own)
+                out += sorted(own)
+            yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["m", "key"])
+
+    left = cores.mapInArrow(run, "m string, key string").select("m", F.xxhash64("key").alias("h"))
+    met = left.join(left.toDF("k", "h"), "h").filter((F.levenshtein("m", "k", 2) >= 0) & ((F.levenshtein("m", "k", 2) <= 1) | (F.least(F.length("m"), F.length("k")) >= 7)))
+    return written(met.select("m", "k").distinct(), "near")
+
+
 def _meet(new: DataFrame, old: DataFrame, days: int, radius: int) -> DataFrame:
     """Pairs of point ids (a of old, b of new) that the pivots allow and whose true distance is within the radius."""
     window = days * 24 * HOUR
@@ -96,25 +115,29 @@ def _meet(new: DataFrame, old: DataFrame, days: int, radius: int) -> DataFrame:
     old, new = old.select(cols), new.select(cols)
     timed = "t0 is not null"
     own = F.explode(F.array_distinct(F.array_compact(F.array("c", "cc"))))
+    near = _near_cores(old.select(own.alias("c")).union(new.select(own.alias("c"))).distinct())
     band = F.floor(F.col("pc0") / (2 * radius + 1))
 
-    # By a company's core, within bands of time; by an investor, within bands of time and of the company's distance to a pivot.
+    # By a company's core and all cores within the radius of it, within bands of time; by an investor, within bands of time and of the company's distance to a pivot.
     post = old.filter(timed).select("*", own.alias("k"), when(F.col("t0")).alias("w"), F.lit(0).cast("long").alias("p"))
-    ask = new.filter(timed).select("*", own.alias("k"), F.explode(whens(F.col("t0"))).alias("w"), F.lit(0).cast("long").alias("p"))
+    ask = new.filter(timed).select("*", own.alias("m")).join(near, "m").drop("m").distinct().select("*", F.explode(whens(F.col("t0"))).alias("w"), F.lit(0).cast("long").alias("p"))
     named = f"{timed} and v is not null and c is not null"
     investor = F.concat(F.lit("\x01"), "v").alias("k")
     post = post.unionByName(old.filter(named).select("*", investor, when(F.col("t0")).alias("w"), band.alias("p")))
     ask = ask.unionByName(new.filter(named).select("*", investor, F.explode(whens(F.col("t0"))).alias("w")).withColumn("p", F.explode(_near(F.col("pc0"), radius))))
-    # Where a time can't be read, company and investor must both be found as they are.
-    both = F.concat_ws("\x02", F.coalesce("c", F.lit("")), F.coalesce("v", F.lit("")))
-    timeless = lambda df: df.select("*", both.alias("k"), F.lit(-1).cast("long").alias("w"), F.lit(-1).cast("long").alias("p"))
+    # Where a time can't be read, by these cores alone; without a company's name, company and investor must be found as they are.
+    both = F.concat(F.lit("\x02"), F.coalesce("v", F.lit("")))
+    flat = lambda df: df.select("*", F.lit(-1).cast("long").alias("w"), F.lit(-1).cast("long").alias("p"))
+    nameless = lambda df: flat(df.filter("c is null").withColumn("k", both))
+    posted = lambda df: flat(df.select("*", own.alias("k"))).unionByName(nameless(df))
+    asked = lambda df: flat(df.select("*", own.alias("m")).join(near, "m").drop("m").distinct()).unionByName(nameless(df))
     met = _pairs(post, ask, radius, window).select("a", "b")
-    late = _pairs(timeless(old.filter("t0 is null")), timeless(new.filter("t0 is null")), radius, window).select("a", "b")
-    # A point without a time goes to the one announcement, of those it may repeat or be repeated by, that came in closest to it.
-    forth = _pairs(timeless(old.filter(timed)), timeless(new.filter("t0 is null")), radius, window)
-    back = _pairs(timeless(old.filter("t0 is null")), timeless(new.filter(timed)), radius, window)
-    forth = forth.groupBy("b").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b")
-    back = back.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b")).select("a", "b")
+    late = _pairs(posted(old.filter("t0 is null")), asked(new.filter("t0 is null")), radius, window).select("a", "b")
+    # A point without a time goes to the one announcement, of those it may repeat or be repeated by, that is most like it and came in closest to it.
+    forth = _pairs(posted(old.filter(timed)), asked(new.filter("t0 is null")), radius, window)
+    back = _pairs(posted(old.filter("t0 is null")), asked(new.filter(timed)), radius, window)
+    forth = forth.groupBy("b").agg(F.min_by("a", F.struct("apart", "gap", "a")).alias("a")).select("a", "b")
+    back = back.groupBy("a").agg(F.min_by("b", F.struct("apart", "gap", "b")).alias("b")).select("a", "b")
     return met.unionByName(late).unionByName(forth).unionByName(back).distinct()
 
 
@@ -134,7 +157,8 @@ def _pairs(post: DataFrame, ask: DataFrame, radius: int, window: int) -> DataFra
     investor = F.coalesce(known("vi"), within("v") & (numbers("x.v") == numbers("y.v")), F.col("x.v").isNull() & F.col("y.v").isNull())
     near = F.coalesce(apart <= window, F.lit(True))
     kept = x.join(y, on).filter(near & pruned & company & investor)
-    return kept.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.abs(F.col("y.at") - F.col("x.at")).alias("gap"))
+    differ = lambda c: F.coalesce(F.levenshtein(F.col(f"x.{c}"), F.col(f"y.{c}")), F.lit(0))
+    return kept.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.abs(F.col("y.at") - F.col("x.at")).alias("gap"), (differ("c") + differ("v")).alias("apart"))
 
 
 def accept(new: DataFrame, members: DataFrame, history: DataFrame | None = None, *, days: int = 3, radius: int = 2) -> tuple[DataFrame, DataFrame]:

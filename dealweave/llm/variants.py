@@ -36,10 +36,10 @@ def grams(word: str) -> list[str]:
 LONG, VOWELS = 14, frozenset("aeiou")
 
 
-def left_by_deletions(word: str) -> set[str]:
-    """The word and what one deletion leaves of it, from five letters on also two: words within two edits (one up to six letters) share one of these."""
+def left_by_deletions(word: str, twice: int = 5) -> set[str]:
+    """The word and what one deletion leaves of it, from twice letters on also two: words within two edits (one, where one is shorter) share one of these."""
     one = {word[:i] + word[i + 1 :] for i in range(len(word))}
-    return {word} | one | ({w[:i] + w[i + 1 :] for w in one for i in range(len(w))} if len(word) >= 5 else set())
+    return {word} | one | ({w[:i] + w[i + 1 :] for w in one for i in range(len(w))} if len(word) >= twice else set())
 
 
 def _keyed(words: DataFrame, keys) -> DataFrame:
