@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+from functools import lru_cache
+from typing import NamedTuple
 
 #: Letters that have no decomposition, legal forms, and short forms of given names.
 _LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "ħ": "h"})
@@ -12,31 +15,24 @@ ARTICLES = frozenset("the a an and".split())
 SHORT_NAMES = {
     short: full
     for full, shorts in {
-        "alexander": "alex sandy xander al sasha",
-        "charles": "charlie chuck chas",
-        "deborah": "deb debbie",
-        "elizabeth": "liz beth betty eliza lizzie",
-        "francisco": "paco pancho frank",
-        "frederick": "fred freddie freddy",
-        "giuseppe": "beppe peppe pino",
-        "henrietta": "hetty etta hattie",
-        "james": "jim jimmy jas jamie",
-        "katherine": "kate katie kathy kay",
-        "leopold": "leo poldi",
-        "margaret": "maggie meg peggy",
-        "michael": "mike mick mickey",
-        "nicholas": "nick nicky",
-        "oliver": "ollie noll",
-        "robert": "rob bob bobby robbie",
-        "susannah": "sue susie suzy",
-        "thomas": "tom tommy",
-        "victoria": "vicky tori vic",
-        "william": "will bill billy willy",
-        "yevgenia": "eugenia zhenya",
+        "abigail": "abby gail", "abraham": "abe", "albert": "al bert", "alexander": "alex sandy", "alfred": "alf fred", "amanda": "mandy", "andrew": "andy drew",
+        "anthony": "tony", "arthur": "art artie", "barbara": "barb babs", "benjamin": "ben benny", "bernard": "bernie", "catherine": "cathy", "charles": "charlie chuck chas",
+        "christine": "chrissy tina", "christopher": "chris kit topher", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "dorothy": "dot dolly",
+        "edward": "ed eddie ned ted", "eleanor": "ellie nell nora", "elizabeth": "liz beth betty eliza lizzie", "emily": "em emmy", "eugenia": "zhenya", "florence": "flo",
+        "frances": "fran francie", "francis": "frank", "francisco": "paco pancho", "frederick": "freddie freddy", "gabriel": "gabe", "george": "georgie", "gerald": "gerry jerry",
+        "gilbert": "gil", "giuseppe": "beppe peppe", "gregory": "greg", "harold": "hal", "helen": "nellie", "henrietta": "hetty etta hattie", "henry": "hank harry",
+        "isabella": "izzy bella", "jacob": "jake", "james": "jim jimmy jamie", "jennifer": "jen jenny", "jessica": "jess jessie", "johann": "hans", "john": "jack johnny",
+        "jonathan": "jon", "joseph": "joe joey", "joshua": "josh", "judith": "judy", "katherine": "kate katie kathy kay", "kenneth": "ken kenny", "lawrence": "larry lars",
+        "leonard": "len lenny", "leopold": "leo", "lillian": "lily lil", "louis": "lou", "madeleine": "maddy", "margaret": "maggie meg peggy greta", "martha": "marty",
+        "matthew": "matt", "maximilian": "max", "michael": "mike mick mickey", "mildred": "millie", "nathaniel": "nate nat", "nicholas": "nick nicky", "oliver": "ollie",
+        "pamela": "pam", "patricia": "pat patty trish", "peter": "pete", "philip": "phil pip", "raymond": "ray", "rebecca": "becky", "reginald": "reg reggie",
+        "richard": "rick dick ricky", "robert": "rob bob bobby robbie", "ronald": "ron ronnie", "rudolf": "rudi", "samuel": "sam sammy", "sarah": "sally sadie",
+        "sebastian": "seb bastian", "stephen": "steve", "susannah": "sue susie suzy", "theodore": "theo", "theresa": "tess tessa", "thomas": "tom tommy", "timothy": "tim",
+        "valentina": "val", "victoria": "vicky tori", "vincent": "vince", "virginia": "ginny", "walter": "walt wally", "wilhelmina": "mina", "william": "will bill billy willy",
         "zachary": "zach zack",
     }.items()
     for short in shorts.split()
-}
+}
 _NUMERAL = re.compile(r"^(?:[ivx]{1,5}|\d{1,4})$")
 
 
@@ -46,13 +42,25 @@ def folded(text: str) -> str:
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
+LONG_WORD, MANY_WORDS = 64, 40
+
+
+def _hashed(text: str) -> str:
+    return text[:8] + hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
 def tokens(name: str) -> list[str]:
-    """The words of a name: folded, without what stands in brackets at its end, legal forms and articles (unless nothing else is left)."""
+    """The words of a name: folded, without what stands in brackets at its end, legal forms and articles (unless nothing else is left).
+
+    A word of more than LONG_WORD letters is told by its beginning and a hash of it; so is, as one word, a name of more than MANY_WORDS words.
+    """
     t = re.sub(r"\s*\([^()]*\)\s*$", "", name.strip()) or name
     t = folded(re.sub(r"(?<=[^\W\d_A-Z])(?=[A-Z][^\W\d_A-Z])", " ", t))  # a capital inside a word begins another
     t = re.sub(r"(?<=\w)[’'](?=\w)", "", t)
     t = re.sub(r"\b(?:[a-z]\.){2,}", lambda m: m.group().replace(".", ""), t)  # S.A. is one word
-    words = re.findall(r"\w+", t)
+    words = [w if len(w) <= LONG_WORD else _hashed(w) for w in re.findall(r"\w+", t)]
+    if len(words) > MANY_WORDS:
+        return [_hashed(" ".join(words))]
     kept = [w for w in words if w not in LEGAL and w not in ARTICLES]
     return kept or words
 
@@ -152,23 +160,49 @@ def _drop_acronym(a: list[str], left: list[int], b: list[str], right: list[int])
             return
 
 
-#: What firms of any name call themselves, and how it is abbreviated.
-GENERIC = frozenset(
-    "partners partner ptnrs prtnrs ptrs capital cap cp ventures venture vent vc vp ncp investments investment invest inv equity equities eq growth grwth gr "
-    "angels angel seed sf fund funds fd systems sys syst technologies technology tech energy enrgy labs lab robotics robotix rob software sw softw health hlth ai".split()
-)
+#: What firms of any name call themselves, and letters they write for it.
+GENERIC = (
+    "partners capital ventures investments investors equity equities growth angels seed fund funds finance financial management advisors associates trust bank "
+    "systems technologies technology tech energy labs laboratories robotics software health healthcare networks solutions services industries international digital "
+    "media studios games analytics data security consulting logistics pharma therapeutics biotech sciences ai io vc sf"
+).split()
+_BY_LETTER = {g[0]: [x for x in GENERIC if x[0] == g[0]] for g in GENERIC}
 
 
-def core(name: str) -> str:
-    """What is left of a name across spellings: the skeleton of its longest word, the first letters of its other words, its numbers.
+@lru_cache(maxsize=100_000)
+def generic(word: str) -> bool:
+    """Whether a word is one that firms of any name have, written out, in the singular, cut short, without vowels, or with x for cs."""
+    w = word[:-1] + "cs" if word.endswith("x") else word
+    for g in _BY_LETTER.get(w[:1], ()):
+        if w == g or w + "s" == g or len(w) >= 2 and len(w) < len(g) and (len(w) >= 3 and g.startswith(w) or not set(w[1:]) & set("aeiou") and _within(w, g)):
+            return True
+    return False
+
 
-    Generic words are left out unless nothing else is left; short forms of given names stand for the full ones.
+class Key(NamedTuple):
+    """What is compared of a name: the skeleton of its main word, the first letters of its other words, its numbers, and the main word itself."""
+
+    core: str
+    initials: str
+    numbers: str
+    word: str
+
+
+def key(name: str) -> Key | None:
+    """The key of a name across spellings: the main word is the longest; short forms of given names stand for the full ones.
+
+    Generic words are left out unless nothing else is left; a name without any word has no key.
     """
     words = tokens(name)
     nums = numerals(words)
-    own = [w for w in words if not _NUMERAL.match(w) or len(w) == 1 and not w.isdigit()]
-    own = [SHORT_NAMES.get(w, w) for w in own if w not in GENERIC] or own
+    named = [w for w in words if not _NUMERAL.match(w) or len(w) == 1 and not w.isdigit()]
+    own = sorted({SHORT_NAMES.get(w, w) for w in named if not generic(w)} or set(named), key=lambda w: (-len(w), w))
     if not own:
-        return nums
-    own.sort(key=lambda w: (-len(w), w))
-    return skeleton(own[0]) + "".join(sorted(w[0] for w in own[1:4])) + (f" {nums}" if nums else "")
+        return Key(nums, "", "", nums) if nums else None
+    return Key(skeleton(own[0]), "".join(sorted({w[0] for w in own[1:]})), nums, own[0])
+
+
+def core(name: str) -> str:
+    """The key of a name as one string."""
+    k = key(name)
+    return f"{k.core}{k.initials}{f' {k.numbers}' if k.numbers else ''}" if k else ""

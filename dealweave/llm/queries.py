@@ -9,26 +9,40 @@ from dealweave.llm.encoding import restore_encoding
 from dealweave.llm.leakage import leaked_items
 from dealweave.llm.packing import count_tokens, pack
 from dealweave.llm.linkage import link_companies
-from dealweave.llm.repeats import accept, points, round_key
+from dealweave.llm.repeats import Deliveries, entity_keys, points, round_key
 from dealweave.llm.variants import spelling_pairs
 from dealweave.operators.instants import to_instants
 from dealweave.session import table, written
 
 
-def announcement_points(spark: SparkSession, d: str, batches: str = "true") -> tuple[DataFrame, DataFrame]:
-    """The points of the funding events of some batches, and the point of each event."""
+def announcement_points(spark: SparkSession, d: str, entities: DataFrame, batches: str = "true") -> tuple[DataFrame, DataFrame]:
+    """The points of the funding events of some batches, and the copies among these."""
     keep = ["company_name", "company_id", "investor_name", "investor_id", "round_type", "source_url", "ingested_at"]
     timed = to_instants(table(spark, d, "funding_events").filter(batches), table(spark, d, "feed_sources"), row_id="event_id", text="announced_at", source="source", keep=keep)
     return points(
-        timed, row_id="event_id", company="company_name", company_id="company_id", investor="investor_name", investor_id="investor_id",
+        timed, entities, row_id="event_id", company="company_name", company_id="company_id", investor="investor_name", investor_id="investor_id",
         round_type="round_type", url="source_url", time_us="epoch_us", arrived="ingested_at",
     )
 
 
+def deliver(spark: SparkSession, d: str, deliveries: int) -> Deliveries:
+    """The batches of funding_events in their order, in so many deliveries of about as many rows, each checked against the history before it."""
+    run = Deliveries(spark)
+    ends = table(spark, d, "funding_events").agg(F.percentile_approx("batch_no", [k / deliveries for k in range(1, deliveries)])).first()[0] or []
+    entities = entity_keys(table(spark, d, "objects"), entity_id="id", name="name")
+    last = None
+    for end in [*sorted(set(ends)), None]:
+        # Rows without a batch_no belong to the first delivery.
+        parts = [f"batch_no > {last}" if last is not None else None, f"batch_no <= {end}" if end is not None else None]
+        of = " and ".join(filter(None, parts)) or "true"
+        run.accept(*announcement_points(spark, d, entities, of if last is not None else f"batch_no is null or {of}"))
+        last = end
+    return run
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Each event that repeats an earlier one, with the first of its announcement."""
-    found, _ = accept(*announcement_points(spark, d))
-    return found.select(F.col("first").alias("event_id_a"), F.col("row").alias("event_id_b")).distinct()
+    return deliver(spark, d, 2).repeats().select(F.col("first").alias("event_id_a"), F.col("row").alias("event_id_b")).distinct()
 
 
 def p3_linked(spark: SparkSession, d: str) -> DataFrame:

@@ -1,10 +1,16 @@
 """New deliveries checked against everything accepted before.
 
-A delivery is a point in a metric space: its distance from another is the largest of the edit distance of the companies' name cores, that of
-the investors' (both in units of their radius), the time between them (in units of the window) and, if their rounds differ, infinity. The
-history keeps a pivot-distance table: of each accepted point the distances to fixed pivots (the epoch for time, fixed strings for cores). A new
-point is compared with those whose company's core is within the radius of its own (cores meet as distinct strings, by what deletions leave of them) and,
-in bands of pivot distances, with those of its investor; the pivots prune what meets, then the true distance is computed. Accepted points are appended.
+A delivery is one or two points of a metric space: the skeleton of its company's main word (as an id's name, an article's address or the row itself
+gives it), that of its investor's, the round, the numbers in the investor's name and the time. The distance of two points is the largest of the edit
+distances of the skeletons (in units of the radius), the time between them (in units of the window) and infinity where round or numbers differ
+or only one names an investor. The history is a stored pivot-distance table: of each accepted point the distance to the pivots of each part. The
+pivot of time is the epoch; those of skeletons are the empty string, each single letter (a letter is nearer by one to a word that has it, so these distances
+are the word's length and a bitmap) and two fixed strings. New points meet the history in ranges of the time's pivot distance, and, where a
+range holds very many points, in bands of the skeletons' pivot distances as well; the triangle inequality prunes what meets, the true distance is
+verified, and words, initials and ids have the last say. Accepted points are appended; what the history holds isn't compared anew.
+
+A point whose time can't be read has no pivot distance in time. Its company's skeleton meets those of the history in an index of what deletions leave of
+each skeleton, which is appended to like the points.
 
 Deliveries that agree in every key within one hour are one point from the start, so a group of copies, however large, is never compared with itself.
 """
@@ -12,34 +18,49 @@ Deliveries that agree in every key within one hour are one point from the start,
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from dealweave.operators.components import components
-from dealweave.llm.names import core
+from dealweave.llm.names import Key, key
 from dealweave.llm.variants import left_by_deletions
-from dealweave.session import written
+from dealweave.session import shared_dir, written
 
 HOUR = 3_600_000_000
-#: The pivots are any strings; they must stay the same as long as a history is used.
-COMPANY_PIVOTS, INVESTOR_PIVOTS = ("brgdrtm", "kfsnvlp"), ("mbrgkdt", "vlnsrzp")
-_SLUG = re.compile(r"([a-z0-9%]+(?:-[a-z0-9%]+)*?)-(?:raises|gets|lands|closes|secures|receives|nets|bags|wins|announces|completes)-", re.I)
+#: The long pivots are any strings; they must stay the same as long as a history is used.
+PIVOTS = ("brgdrtm", "kfsnvlp")
+#: The verbs of headlines, as addresses have them.
+_VERB = re.compile(r"-(?:raises|gets|lands|closes|secures|receives|nets|bags|wins|announces|completes)-", re.I)
+_IN_SLUG = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789%-")
 
 
 @lru_cache(maxsize=200_000)
-def _core(name: str | None) -> str | None:
-    return (core(name[:500]) or None) if name and name.strip() else None
+def _key(name: str | None) -> dict | None:
+    k = key(name) if name and name.strip() else None
+    return k and k._asdict() | {"bits": _letters(k.core)}
 
 
 @lru_cache(maxsize=50_000)
 def slug_name(url: str | None) -> str | None:
     """The company's name in an article's address, where the address has one."""
-    m = _SLUG.search(re.sub("%2d", "-", url[-500:], flags=re.I)) if url else None
-    return (m.group(1).replace("-", " ") or None) if m else None
+    if not url:
+        return None
+    url = re.sub("%2d", "-", url, flags=re.I)
+    for m in _VERB.finditer(url):
+        at = m.start()
+        while at and url[at - 1] in _IN_SLUG:
+            at -= 1
+        if name := url[at : m.start()].strip("-").replace("-", " "):
+            return name
+    return None
 
 
 def round_key(c: Column) -> Column:
@@ -49,132 +70,295 @@ def round_key(c: Column) -> Column:
     return F.regexp_replace(t, "^series([a-h])$", "series-$1")
 
 
-def points(rows: DataFrame, *, row_id: str, company: str, company_id: str, investor: str, investor_id: str, round_type: str, url: str, time_us: str, arrived: str) -> tuple[DataFrame, DataFrame]:
-    """(points, members): the distinct points of rows with their pivot distances, and the point of each row.
+_KEY = "struct<core:string,initials:string,numbers:string,word:string,bits:int>"
+_ARROW = pa.struct([*((f, pa.string()) for f in Key._fields), ("bits", pa.int32())])
 
-    A point's id is its smallest row_id.
-    """
-    t = rows.select(
-        F.col(row_id).cast("long").alias("id"), F.col(company).alias("cn"), F.col(company_id).alias("ci"), F.col(investor).alias("vn"),
-        F.col(investor_id).alias("vi"), round_key(F.col(round_type)).alias("r"), F.col(url).alias("u"), F.col(time_us).alias("t"), F.unix_micros(arrived).alias("at"),
-    )
 
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(df: DataFrame, of: dict[str, str], kept: list[str]) -> DataFrame:
+    """kept columns with the key of the name in each column of `of`, under its value as name; a column that starts with @ holds addresses."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [pa.array([f(x) for x in b.column(c).to_pylist()], pa.string()) for f, c in ((_core, "cn"), (_core, "vn"), (lambda u: _core(slug_name(u)), "u"))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "ci", "vi", "r", "t", "at")), *made], names=["id", "ci", "vi", "r", "t", "at", "cc", "vc", "sc"])
-
-    t = t.mapInArrow(cores, "id long, ci string, vi string, r string, t long, at long, cc string, vc string, sc string")
-    t = written(t, "cores")
-    # What a known id is mostly called stands for what a row calls it.
-    usual = lambda i, c, name: t.filter(f"{i} is not null and {c} is not null").groupBy(i, c).agg(F.count(F.lit(1)).alias("n")).groupBy(i).agg(F.max_by(c, F.struct("n", c)).alias(name))
-    t = t.join(usual("ci", "cc", "cu"), "ci", "left").join(usual("vi", "vc", "vu"), "vi", "left")
-    t = t.select("id", "ci", "vi", "r", "t", "at", "cc", F.coalesce("cu", "sc", "cc").alias("c"), F.coalesce("vu", "vc", F.when(F.col("vi").isNotNull(), F.concat(F.lit("#"), "vi"))).alias("v"))
-    keys = ["ci", "vi", "r", "cc", "c", "v", "h"]
-    t = t.withColumn("h", F.floor(F.col("t") / HOUR))
-    p = t.groupBy(*keys).agg(F.min("id").alias("id"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min("at").alias("at"))
-    p = p.withColumns({f"pc{k}": F.levenshtein("c", F.lit(x)) for k, x in enumerate(COMPANY_PIVOTS)} | {f"pv{k}": F.levenshtein("v", F.lit(x)) for k, x in enumerate(INVESTOR_PIVOTS)})
-    p = written(p, "points")
-    same = [t[k].eqNullSafe(p[k]) for k in keys]
-    on = same[0]
-    for x in same[1:]:
-        on &= x
-    return p, t.join(p, on).select(t["id"].alias("row"), p["id"].alias("point"))
+            made = []
+            for c in of:
+                names = b.column(c.lstrip("@")).to_pylist()
+                made.append(pa.array([_key(slug_name(x) if c[0] == "@" else x) for x in names], _ARROW))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made], names=[*kept, *of.values()])
+
+    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in kept] + [f"{n} {_KEY}" for n in of.values()])
+    return df.mapInArrow(run, schema)
 
 
-def _near(value: Column, radius: int) -> Column:
-    """The bands, 2 * radius + 1 wide, in which a value within the radius may lie: at most two."""
-    w = 2 * radius + 1
-    return F.array_distinct(F.array(F.floor((value - radius) / w), F.floor((value + radius) / w)))
+def entity_keys(entities: DataFrame, *, entity_id: str, name: str) -> DataFrame:
+    """(eid, ek): the key of what each entity is called; of several names of an id the smallest counts. Written, for use with each batch."""
+    e = entities.filter(F.col(entity_id).isNotNull() & F.col(name).isNotNull()).groupBy(F.col(entity_id).alias("eid")).agg(F.min(name).alias("n"))
+    return written(_keys(e, {"n": "ek"}, ["eid"]).filter("ek is not null"), "entities")
 
 
-def _near_cores(cores: DataFrame) -> DataFrame:
-    """(m, k): each core of a table (c) with itself and all that _pairs may take for it; none is lost up to a radius of 2."""
+def _letters(word: str) -> int:
+    """The distances to the single letters, as a bitmap: a bit is set where its letter (the last one: any other sign) is in the word."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) - 97 if "a" <= c <= "z" else 26)
+    return bits
 
+
+def points(rows: DataFrame, entities: DataFrame, *, row_id: str, company: str, company_id: str, investor: str, investor_id: str, round_type: str, url: str, time_us: str, arrived: str) -> tuple[DataFrame, DataFrame]:
+    """(points, copies): the distinct points of rows with their pivot distances; of rows that are the same point as an earlier one, that point.
+
+    A point's id is its smallest row_id. entities are entity_keys of all known ids, so that a point's key doesn't depend on the batch it came in.
+    Rows without any company's name (of its own, in the address or by id) are no points: nothing tells what they repeat.
+    """
+    t = rows.select(
+        F.col(row_id).cast("long").alias("id"), F.col(company).alias("cn"), F.col(company_id).alias("ci"), F.col(investor).alias("vn"),
+        F.col(investor_id).alias("vi"), round_key(F.col(round_type)).alias("r"), F.col(url).alias("u"), F.col(time_us).alias("t"), F.unix_micros(arrived).alias("at"),
+    )
+    t = _keys(t, {"cn": "ck", "vn": "vk", "@u": "sk"}, ["id", "ci", "vi", "r", "t", "at"])
+    # NULL ids get keys of their own, so that they don't meet in one task.
+    for i, k in (("ci", "ce"), ("vi", "ve")):
+        on = F.coalesce(F.col(i), F.concat(F.lit("\x00"), (F.col("id") % 997).cast("string")))
+        t = t.withColumn("eid", on).join(entities.withColumnRenamed("ek", k), "eid", "left").drop("eid")
+    unnamed = F.when(F.col("vi").isNotNull(), F.struct(F.concat(F.lit("#"), "vi").alias("core"), F.lit("").alias("initials"), F.lit("").alias("numbers"), F.col("vi").alias("word"), F.lit(1 << 26).alias("bits")))
+    one, two = F.coalesce("ce", "sk", "ck"), F.when(F.col("ce").isNull() & F.col("sk").isNotNull() & (F.col("sk.core") != F.col("ck.core")), F.col("ck"))
+    none = F.lit("")
+    v = F.coalesce("ve", "vk", unnamed)
+    t = t.select(
+        "id", "ci", "vi", "t", "at", F.xxhash64("r", v.isNotNull(), F.coalesce(v["numbers"], none)).alias("k"), F.floor(F.col("t") / HOUR).alias("h"),
+        one.alias("c1"), two.alias("c2"), F.struct(*[F.coalesce(v[f], none).alias(f) for f in ("core", "initials", "word")], F.coalesce(v["bits"], F.lit(0)).alias("bits")).alias("v"),
+    ).filter("c1 is not null")
+    same = ["k", "h", "ci", "vi", "c1", "c2", "v"]
+    t = written(t.withColumns({"h1": F.xxhash64(*same), "h2": F.hash(*reversed(same))}), "cores")
+    p = t.groupBy("h1", "h2").agg(*[F.first(x).alias(x) for x in same if x != "h"], F.min("id").alias("id"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
+    far = lambda x, s: {f"{s}p{i}": F.levenshtein(x, F.lit(q)) for i, q in enumerate(PIVOTS)} | {f"{s}n": F.length(x)}
+    side = lambda x, s: F.struct(*[f.alias(n) for n, f in ({f"{s}c": x["core"], f"{s}o": x["initials"], f"{s}w": x["word"], f"{s}b": x["bits"]} | far(x["core"], s)).items()])
+    p = p.select("id", "k", "ci", "vi", "t0", "t1", "at", "n", "h1", "h2", side(F.col("v"), "v").alias("v"),
+                 F.when(F.col("c2").isNull(), F.array(side(F.col("c1"), "c"))).otherwise(F.array(side(F.col("c1"), "c"), side(F.col("c2"), "c"))).alias("c"))
+    p = written(p, "points")
+    copies = t.join(p.filter("n > 1").select("h1", "h2", F.col("id").alias("point")), ["h1", "h2"]).filter("id <> point").select(F.col("id").alias("row"), "point")
+    return p.drop("n", "h1", "h2"), copies
+
+
+_INDEX = "c string, late boolean, h long"
+
+
+@dataclass
+class History:
+    """The accepted points and the index of their skeletons, as tables below a path; both are only ever appended to."""
+
+    spark: SparkSession
+    path: str
+    days: int = 3
+    batches: int = 0
+    schema: StructType | None = None
+
+    def append(self, new: DataFrame) -> DataFrame:
+        """Appends points; gives the keys of those skeletons that the index gets."""
+        new = new.withColumn("range", self._range(F.col("t0")))
+        self.schema = new.schema
+        new.write.mode("append").partitionBy("range").parquet(f"{self.path}/points")
+        cores = new.select(F.explode("c.cc").alias("c"), F.col("t0").isNull().alias("late")).distinct()
+        if self.batches:
+            cores = cores.join(self._index().select("c", "late").distinct(), ["c", "late"], "left_anti")
+        at = f"{self.path}/index/batch={self.batches}"
+        _deletions(cores).write.parquet(at)
+        self.batches += 1
+        return self.spark.read.schema(_INDEX).parquet(at)
+
+    def _range(self, t: Column) -> Column:
+        """Thirty windows of time; -1 where there is no time."""
+        return F.coalesce(F.floor(t / (30 * self.days * 24 * HOUR)), F.lit(-1)).cast("long")
+
+    def _index(self) -> DataFrame:
+        return self.spark.read.schema(f"{_INDEX}, batch int").parquet(f"{self.path}/index").select("c", "late", "h")
+
+    def near(self, keys: DataFrame) -> DataFrame:
+        """(m, k): skeletons m of points without a time and all k of the others within the radius, where one of both is new; and the other way round."""
+        index = self._index()
+        met = keys.filter("late").select(F.col("c").alias("m"), "h").join(index.select(F.col("c").alias("k"), "h"), "h").select("m", "k")
+        back = index.filter("late").select(F.col("c").alias("m"), "h").join(keys.select(F.col("c").alias("k"), "h"), "h").select("m", "k")
+        return written(met.unionByName(back).distinct().filter(_within(F.col("m"), F.col("k"))), "near")
+
+    def points(self, within: DataFrame | None = None) -> DataFrame:
+        """The accepted points: all, or those in the ranges within reach of other points. The ranges are few: one for each ninety days of news."""
+        p = self.spark.read.schema(self.schema).parquet(f"{self.path}/points")
+        if within is None:
+            return p.drop("range")
+        r = [x[0] for x in within.select(self._range(F.col("t0")).alias("r")).distinct().collect()]
+        return p.filter(F.col("range").isin(sorted({y for x in r if x >= 0 for y in (x - 1, x, x + 1)}))).drop("range")
+
+
+def _deletions(cores: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, out = [], []
             for i, c in enumerate(b.column("c").to_pylist()):
                 n = len(c)
-                own = (left_by_deletions(c, 7) if n <= 20 else set()) | ({f"\x04{k}" for k in (n - 1, n, n + 1)} if n >= 19 else set())
+                own = (left_by_deletions(c, 7) if n <= 20 else set()) | ({f"\x04{k}" for k in (n - 2, n - 1, n, n + 1, n + 2)} if n >= 19 else set())
                 at += [i] * len(own)
                 out += sorted(own)
-            yield pa.RecordBatch.from_arrays([b.column("c").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["m", "key"])
-
-    left = cores.mapInArrow(run, "m string, key string").select("m", F.xxhash64("key").alias("h"))
-    met = left.join(left.toDF("k", "h"), "h").filter((F.levenshtein("m", "k", 2) >= 0) & ((F.levenshtein("m", "k", 2) <= 1) | (F.least(F.length("m"), F.length("k")) >= 7)))
-    return written(met.select("m", "k").distinct(), "near")
-
-
-def _meet(new: DataFrame, old: DataFrame, days: int, radius: int) -> DataFrame:
-    """Pairs of point ids (a of old, b of new) that the pivots allow and whose true distance is within the radius."""
-    window = days * 24 * HOUR
-    when = lambda p: F.floor(p / (2 * window))
-    whens = lambda p: F.array_distinct(F.array(F.floor((p - window) / (2 * window)), F.floor((p + window) / (2 * window))))
-    cols = ["id", "ci", "vi", "r", "cc", "c", "v", "t0", "t1", "at", "pc0", "pc1", "pv0", "pv1"]
-    old, new = old.select(cols), new.select(cols)
-    timed = "t0 is not null"
-    own = F.explode(F.array_distinct(F.array_compact(F.array("c", "cc"))))
-    near = _near_cores(old.select(own.alias("c")).union(new.select(own.alias("c"))).distinct())
-    band = F.floor(F.col("pc0") / (2 * radius + 1))
-
-    # By a company's core and all cores within the radius of it, within bands of time; by an investor, within bands of time and of the company's distance to a pivot.
-    post = old.filter(timed).select("*", own.alias("k"), when(F.col("t0")).alias("w"), F.lit(0).cast("long").alias("p"))
-    ask = new.filter(timed).select("*", own.alias("m")).join(near, "m").drop("m").distinct().select("*", F.explode(whens(F.col("t0"))).alias("w"), F.lit(0).cast("long").alias("p"))
-    named = f"{timed} and v is not null and c is not null"
-    investor = F.concat(F.lit("\x01"), "v").alias("k")
-    post = post.unionByName(old.filter(named).select("*", investor, when(F.col("t0")).alias("w"), band.alias("p")))
-    ask = ask.unionByName(new.filter(named).select("*", investor, F.explode(whens(F.col("t0"))).alias("w")).withColumn("p", F.explode(_near(F.col("pc0"), radius))))
-    # Where a time can't be read, by these cores alone; without a company's name, company and investor must be found as they are.
-    both = F.concat(F.lit("\x02"), F.coalesce("v", F.lit("")))
-    flat = lambda df: df.select("*", F.lit(-1).cast("long").alias("w"), F.lit(-1).cast("long").alias("p"))
-    nameless = lambda df: flat(df.filter("c is null").withColumn("k", both))
-    posted = lambda df: flat(df.select("*", own.alias("k"))).unionByName(nameless(df))
-    asked = lambda df: flat(df.select("*", own.alias("m")).join(near, "m").drop("m").distinct()).unionByName(nameless(df))
-    met = _pairs(post, ask, radius, window).select("a", "b")
-    late = _pairs(posted(old.filter("t0 is null")), asked(new.filter("t0 is null")), radius, window).select("a", "b")
-    # A point without a time goes to the one announcement, of those it may repeat or be repeated by, that is most like it and came in closest to it.
-    forth = _pairs(posted(old.filter(timed)), asked(new.filter("t0 is null")), radius, window)
-    back = _pairs(posted(old.filter("t0 is null")), asked(new.filter(timed)), radius, window)
-    forth = forth.groupBy("b").agg(F.min_by("a", F.struct("apart", "gap", "a")).alias("a")).select("a", "b")
-    back = back.groupBy("a").agg(F.min_by("b", F.struct("apart", "gap", "b")).alias("b")).select("a", "b")
-    return met.unionByName(late).unionByName(forth).unionByName(back).distinct()
-
-
-def _pairs(post: DataFrame, ask: DataFrame, radius: int, window: int) -> DataFrame:
-    x, y = post.alias("x"), ask.alias("y")
-    on = (F.col("x.k") == F.col("y.k")) & (F.col("x.r") == F.col("y.r")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.id") < F.col("y.id"))
-    apart = F.greatest(F.abs(F.col("y.t1") - F.col("x.t0")), F.abs(F.col("x.t1") - F.col("y.t0")))
-    pruned = F.lit(True)
-    for k in ("pc0", "pc1", "pv0", "pv1"):
-        pruned &= F.coalesce(F.abs(F.col(f"x.{k}") - F.col(f"y.{k}")) <= radius, F.lit(True)) | (F.lit(k[1] == "c") & (F.col("x.cc") == F.col("y.cc")))
-    within = lambda c: (F.levenshtein(F.col(f"x.{c}"), F.col(f"y.{c}"), radius) >= 0) & (
-        (F.levenshtein(F.col(f"x.{c}"), F.col(f"y.{c}"), radius) <= 1) | (F.least(F.length(f"x.{c}"), F.length(f"y.{c}")) >= 7)
-    )
-    numbers = lambda c: F.regexp_extract(F.col(c), " (.*)$", 1)
-    known = lambda i: F.col(f"x.{i}") == F.col(f"y.{i}")
-    company = F.coalesce(known("ci"), within("c") | within("cc") | (F.col("x.c") == F.col("y.cc")) | (F.col("x.cc") == F.col("y.c")), F.lit(False))
-    investor = F.coalesce(known("vi"), within("v") & (numbers("x.v") == numbers("y.v")), F.col("x.v").isNull() & F.col("y.v").isNull())
-    near = F.coalesce(apart <= window, F.lit(True))
-    kept = x.join(y, on).filter(near & pruned & company & investor)
-    differ = lambda c: F.coalesce(F.levenshtein(F.col(f"x.{c}"), F.col(f"y.{c}")), F.lit(0))
-    return kept.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.abs(F.col("y.at") - F.col("x.at")).alias("gap"), (differ("c") + differ("v")).alias("apart"))
-
-
-def accept(new: DataFrame, members: DataFrame, history: DataFrame | None = None, *, days: int = 3, radius: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(repeats, points to append): checks the points of a batch against a history and against each other.
-
-    repeats is (first, row): row reports an announcement that was first reported by the smaller id first. The points to append carry in
-    root the first id of their announcement; a history is the union of all that was appended. What the history holds isn't compared anew.
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("c").take(at), b.column("late").take(at), pa.array(out, pa.string())], names=["c", "late", "key"])
+
+    return cores.mapInArrow(run, "c string, late boolean, key string").select("c", "late", F.xxhash64("key").alias("h"))
+
+
+def _within(a: Column, b: Column) -> Column:
+    """Whether two skeletons are within the radius: one edit or swap, two where both have seven letters or more."""
+    d = F.levenshtein(a, b, 2)
+    swapped = (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
+    return d.between(0, 1) | ((d == 2) & ((F.least(F.length(a), F.length(b)) >= 7) | swapped))
+
+
+SURE, BEST_EARLIER, BEST_LATER = 0, 1, 2
+_NUMBERS = ("id", "k", "t0", "t1", "vb", "cb", *(f"{s}{p}" for s in "vc" for p in ("n", "p0", "p1")))
+_TEXTS = ("ci", "vi", *(f"{s}{p}" for s in "vc" for p in "cow"))
+_NO_TIME = -(1 << 62)
+
+
+def links(new: DataFrame, history: History, keys: DataFrame, *, split_rows: int = 20_000) -> DataFrame:
+    """(a, b, kind, apart, gap): points b of a batch and earlier points a, of the batch or the history, that may report the same announcement.
+
+    The batch has been appended to the history, which gave keys. Links of kind SURE stand for themselves. A point without a time goes with one announcement only,
+    the one most like it and closest to it in arrival: BEST_EARLIER are those that may come first, of which each b keeps one; BEST_LATER those
+    that may come after it, of which each a keeps one once there is no earlier one (resolve does both). A range of time in which more than split_rows points of one round meet is split by
+    bands of pivot distances of both skeletons, and these into blocks of about split_rows points; results don't depend on it.
+    """
+    window = history.days * 24 * HOUR
+    cell = F.floor(F.col("t0") / window)
+    flat = lambda p: p.select("id", "k", "ci", "vi", "t0", "t1", "at", "v.*", F.inline("c"))
+    old = flat(history.points(new).filter("t0 is not null")).withColumn("w", cell)
+    ask = flat(new.filter("t0 is not null")).withColumn("w", F.explode(F.sequence(cell - 1, cell + 1)))
+    hot = _hot(old, ["k", "w"], split_rows)
+    band = lambda c: F.when(F.col("blocks") > 1, F.floor(F.col(c) / 5)).otherwise(-1)
+    bands = lambda c: F.explode(F.when(F.col("blocks") > 1, F.array_distinct(F.array(F.floor((F.col(c) - 2) / 5), F.floor((F.col(c) + 2) / 5)))).otherwise(F.array(F.lit(-1).cast("long"))))
+    post = old.join(hot, ["k", "w"], "left").withColumns({"cx": band("cp0"), "vx": band("vp0")})
+    ask = ask.join(hot, ["k", "w"], "left").withColumn("cx", bands("cp0")).withColumn("vx", bands("vp0"))
+    timed = _met(post, ask, ["k", "w", "cx", "vx"], window)
+
+    # Without a time: by round and by skeletons from the index.
+    near = history.near(keys)
+    both = near.unionByName(near.select(F.col("k").alias("m"), F.col("m").alias("k"))).distinct().withColumnsRenamed({"m": "cc", "k": "x"})
+    everything = history.points()
+    late_old, late_new = everything.filter("t0 is null"), new.filter("t0 is null")
+    asks = [flat(late_new).join(both, "cc").withColumn("z", F.lit(0)), flat(new.filter("t0 is not null")).join(both, "cc").withColumn("z", F.lit(1))]
+    posts = [flat(everything).withColumns({"x": F.col("cc"), "z": F.lit(0)}), flat(late_old).withColumns({"x": F.col("cc"), "z": F.lit(1)})]
+    posts[0] = posts[0].join(asks[0].select("x").distinct(), "x", "left_semi")
+    post, ask = posts[0].unionByName(posts[1]), asks[0].unionByName(asks[1].select(asks[0].columns))
+    hot = _hot(post, ["k", "x", "z"], split_rows)
+    met = timed.unionByName(_met(post.join(hot, ["k", "x", "z"], "left"), ask.join(hot, ["k", "x", "z"], "left"), ["k", "x", "z"], window))
+    return _true(met)
+
+
+def _hot(post: DataFrame, by: list[str], split_rows: int) -> DataFrame:
+    return post.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / split_rows).cast("int").alias("blocks")).filter("blocks > 1")
+
+
+def _met(post: DataFrame, ask: DataFrame, by: list[str], window: int) -> DataFrame:
+    """Pairs x, y of rows of post and ask with equal keys whose pivot distances allow them to be near, x before y."""
+    blocks = F.coalesce("blocks", F.lit(1))
+    cols = [*(F.coalesce(c, F.lit(_NO_TIME)).alias(c) if c in ("t0", "t1") else F.col(c) for c in _NUMBERS), *_TEXTS, "at"]
+    key = lambda salt: F.xxhash64(*by, salt)
+    post = post.select(*cols, key(F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("g"), F.lit(0).alias("ask"))
+    ask = ask.withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*cols, key(F.col("salt")).alias("g"), F.lit(1).alias("ask"))
+    rows = post.unionByName(ask).repartition("g").sortWithinPartitions("g", "ask")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = [*_NUMBERS, *_TEXTS, "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None  # what was posted of the group that goes on in the next batch
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if carried is None else pa.concat_tables([carried, t]).combine_chunks()
+            at, left = _compare({c: t.column(c).to_numpy() for c in (*_NUMBERS, "g", "ask")}, window)
+            carried = t.slice(left, t.num_rows - left)
+            carried = carried.filter(pa.array(carried.column("ask").to_numpy() == 0)) if carried.num_rows else None
+            for x, y in at:
+                cols = [t.column(c).take(pa.array(i)).combine_chunks() for i in (x, y) for c in out]
+                yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=[f"{s}_{c}" for s in "xy" for c in out])
+
+    return rows.mapInArrow(run, ", ".join(f"{s}_{c} {kinds[c]}" for s in "xy" for c in out))
+
+
+def _compare(n: dict[str, np.ndarray], window: int, most: int = 2_000_000) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """(index pairs of rows that may be near, where the last group begins) of rows in the order of their groups, what was posted first.
+
+    An edit moves each pivot distance by one at most, and changes two letters at most.
     """
-    links = _meet(new, new, days, radius)
-    if history is not None:
-        to_old = _meet(new, history, days, radius)
-        roots = history.select(F.col("id").alias("a"), "root")
-        links = links.unionByName(to_old.join(roots, "a").select(F.col("root").alias("a"), "b"))
-    links = written(links, "repeats")
-    roots = components(links, "a", "b")
-    rooted = new.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = written(rooted, "rooted")
-    found = members.join(rooted.select(F.col("id").alias("point"), "root"), "point").filter("row <> root").select(F.col("root").alias("first"), "row")
-    return found, rooted
+    g, ask = n["g"], n["ask"]
+    starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(g))
+    first_ask = starts + np.add.reduceat(1 - ask, starts) if len(g) else starts
+    out, xs, ys, size = [], [], [], 0
+    for lo, mid, hi in zip(starts.tolist(), first_ask.tolist(), ends.tolist()):
+        if lo == mid or mid == hi:
+            continue
+        step = max(1, most // (mid - lo))
+        for at in range(mid, hi, step):
+            upto = min(hi, at + step)
+            y, x = np.nonzero(np.bitwise_count(n["vb"][at:upto, None] ^ n["vb"][None, lo:mid]) <= 4)
+            x, y = x + lo, y + at
+            keep = (np.bitwise_count(n["cb"][x] ^ n["cb"][y]) <= 4) & (n["id"][x] < n["id"][y]) & (n["k"][x] == n["k"][y])
+            x, y = x[keep], y[keep]
+            keep = (n["t0"][x] == _NO_TIME) | (n["t0"][y] == _NO_TIME) | (np.maximum(np.abs(n["t1"][y] - n["t0"][x]), np.abs(n["t1"][x] - n["t0"][y])) <= window)
+            for c in _NUMBERS[6:]:
+                keep &= np.abs(n[c][x] - n[c][y]) <= 2
+            if keep.any():
+                xs.append(x[keep])
+                ys.append(y[keep])
+                size += len(xs[-1])
+                if size > most // 20:
+                    out.append((np.concatenate(xs), np.concatenate(ys)))
+                    xs, ys, size = [], [], 0
+    if xs:
+        out.append((np.concatenate(xs), np.concatenate(ys)))
+    return out, int(starts[-1]) if len(g) else 0
+
+
+def _true(met: DataFrame) -> DataFrame:
+    """Those pairs whose true distance is within the radius, and which words, initials and ids don't speak against."""
+    col = lambda c: (F.col(f"x_{c}"), F.col(f"y_{c}"))
+    true = _within(*col("vc")) & _within(*col("cc"))
+    for s in "vc":
+        # Words may differ by two edits, unless one has lost its vowels; no initial of one may speak against the other.
+        (a, b), (i, j), (c, d) = col(f"{s}w"), col(f"{s}o"), col(f"{s}c")
+        true &= (a == c) | (b == d) | (F.levenshtein(a, b, 2) >= 0)
+        true &= (F.call_function("translate", i, j, F.lit("")) == "") | (F.call_function("translate", j, i, F.lit("")) == "")
+    for c in ("ci", "vi"):
+        p, q = col(c)
+        true &= F.coalesce(p == q, F.lit(True))
+    no_x, no_y = (c == _NO_TIME for c in col("t0"))
+    kind = F.when(no_x == no_y, SURE).when(no_x, BEST_LATER).otherwise(BEST_EARLIER)
+    differ = sum((F.levenshtein(*col(f"{s}c")) for s in "vc"), F.lit(0))
+    return met.filter(true).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), kind.cast("int").alias("kind"), differ.alias("apart"), F.abs(F.col("y_at") - F.col("x_at")).alias("gap"))
+
+
+def resolve(found: DataFrame) -> DataFrame:
+    """(node, root): of each linked point the first of its announcement, from the links of all batches so far."""
+    sure = found.filter(F.col("kind") == SURE).select("a", "b")
+    order = F.struct("apart", "gap", "id")
+    forth = found.filter(F.col("kind") == BEST_EARLIER).withColumn("id", F.col("a")).groupBy("b").agg(F.min_by("a", order).alias("a")).select("a", "b")
+    back = found.filter(F.col("kind") == BEST_LATER).withColumn("id", F.col("b")).groupBy("a").agg(F.min_by("b", order).alias("b"))
+    back = back.join(forth.select(F.col("b").alias("a")), "a", "left_anti").select("a", "b")
+    return components(sure.unionByName(forth).unionByName(back), "a", "b")
+
+
+class Deliveries:
+    """A running check: accept each batch in turn; repeats tells what repeats what so far."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, *, days: int = 3, split_rows: int = 20_000):
+        self.history = History(spark, path or f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}", days)
+        self.split_rows, self.found, self.copies = split_rows, None, None
+
+    def accept(self, new: DataFrame, copies: DataFrame) -> DataFrame:
+        """Appends the points of a batch and gives its links to what was accepted before and to itself."""
+        keys = self.history.append(new)
+        met = written(links(new, self.history, keys, split_rows=self.split_rows), "repeats")
+        self.found = met if self.found is None else self.found.unionByName(met)
+        self.copies = copies if self.copies is None else self.copies.unionByName(copies)
+        return met
+
+    def repeats(self) -> DataFrame:
+        """(first, row): row reports an announcement that was first reported by the smaller id first."""
+        roots = written(resolve(self.found), "roots")
+        again = self.copies.join(roots.select(F.col("node").alias("point"), "root"), "point", "left").select(F.coalesce("root", "point").alias("first"), "row")
+        return roots.filter("node <> root").select(F.col("root").alias("first"), F.col("node").alias("row")).unionByName(again)

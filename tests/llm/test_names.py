@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dealweave.operators.components import components
 from dealweave.llm.linkage import estimate, link_companies
 from dealweave.llm.names import alike, core, edits, numerals, similarity, tokens
-from dealweave.llm.repeats import accept, points, round_key, slug_name
+from dealweave.llm.repeats import Deliveries, entity_keys, points, round_key, slug_name
 from dealweave.llm.variants import spelling_pairs
 
 
@@ -88,25 +88,37 @@ NEWS = [
 WANT = {(1, 2), (1, 3), (7, 8), (6, 10)} | {(100, 100 + k) for k in range(1, 300)}
 
 
-def news_points(spark, rows):
-    return points(spark.createDataFrame(rows, COLUMNS), row_id="id", company="company", company_id="ci", investor="investor", investor_id="vi", round_type="round", url="url", time_us="t", arrived="arrived")
+def repeats(spark, parts, names=(), **kw):
+    entities = entity_keys(spark.createDataFrame(list(names), "id string, name string"), entity_id="id", name="name")
+    run = Deliveries(spark, **kw)
+    for rows in parts:
+        df = spark.createDataFrame(rows, COLUMNS)
+        run.accept(*points(df, entities, row_id="id", company="company", company_id="ci", investor="investor", investor_id="vi", round_type="round", url="url", time_us="t", arrived="arrived"))
+    return sorted(tuple(r) for r in run.repeats().collect())
 
 
-def test_repeats_in_one_go_and_batch_by_batch(spark):
-    found, _ = accept(*news_points(spark, NEWS))
-    got = {tuple(r) for r in found.collect()}
-    assert WANT <= got and not got - WANT
-    history, by_batch = None, set()
-    for rows in (NEWS[:13], [r for r in NEWS if r[1] == 1], [r for r in NEWS if r[1] == 2]):
-        found, new = accept(*news_points(spark, rows), history)
-        by_batch |= {tuple(r) for r in found.collect()}
-        history = new if history is None else history.unionByName(new)
-    assert WANT <= by_batch
+def test_repeats_in_one_go_batch_by_batch_and_split(spark):
+    assert set(repeats(spark, [NEWS])) == WANT
+    order = sorted(NEWS, key=lambda r: (r[1], r[0]))
+    renumbered = [(i, *r[1:]) for i, r in enumerate(order, 1)]
+    whole = repeats(spark, [renumbered])
+    by_batch = repeats(spark, [[r for r in renumbered if r[1] == k] for k in (0, 1, 2)])
+    assert whole == by_batch and len(whole) == len(WANT)
+    assert repeats(spark, [NEWS], split_rows=2) == repeats(spark, [NEWS])
+
+
+def test_ids_name_companies_and_investors(spark):
+    names = [("c:1", "Budrofifu Tundra"), ("c:1", "Budrofifu Tundra"), ("f:1", "Velmorrin Lantern Partners"), (None, "x"), ("c:2", None)]
+    rows = [
+        delivery(1, None, "c:1", None, "f:1", "seed", 10 * DAY), delivery(2, "Budrofifu Tundra Inc", None, "Velmorrin Lantern", None, "seed", 11 * DAY),
+        delivery(3, "Budrofifu Tundra", "c:2", "Velmorrin Lantern", None, "seed", 11 * DAY), delivery(4, "Budrofifu Tundra", None, "Velmorrin Lantern", "f:2", "seed", 11 * DAY),
+    ]
+    got = repeats(spark, [rows], names)
+    assert (1, 2) in got and (1, 3) in got  # an id that isn't known speaks by its row's name; 2 joins 1 and 3
 
 
 def test_no_deliveries_and_round_names(spark):
-    found, new = accept(*news_points(spark, []))
-    assert found.collect() == [] and new.collect() == []
+    assert repeats(spark, [[]]) == [] and repeats(spark, [[], NEWS[:3], []]) == [(1, 2), (1, 3)]
     df = spark.createDataFrame([(x,) for x in (" Series  A ", "A round", "seriesa", "series_a", None, "Seed Round", "pre-seed")], "r string")
     assert [r[0] for r in df.select(round_key(F.col("r"))).collect()] == ["series-a"] * 4 + ["", "seed", "pre-seed"]
 

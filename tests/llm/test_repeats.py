@@ -1,6 +1,6 @@
 import datetime as dt
 
-from dealweave.llm.repeats import accept, points
+from dealweave.llm.repeats import Deliveries, entity_keys, points
 
 DAY = 86_400_000_000
 NEWS = [
@@ -18,5 +18,7 @@ NEWS = [
 def test_near_names_meet_without_investor_or_time(spark):
     rows = [(i, c, None, v, None, "series-a", None, t, dt.datetime(2020, 1, 1) + dt.timedelta(hours=i)) for i, c, v, t in NEWS]
     d = spark.createDataFrame(rows, "id long, c string, ci string, v string, vi string, r string, u string, t long, at timestamp")
-    p, members = points(d, row_id="id", company="c", company_id="ci", investor="v", investor_id="vi", round_type="r", url="u", time_us="t", arrived="at")
-    assert {tuple(x) for x in accept(p, members)[0].collect()} == {(1, 2), (3, 4), (5, 6)}
+    none = entity_keys(spark.createDataFrame([], "id string, name string"), entity_id="id", name="name")
+    run = Deliveries(spark)
+    run.accept(*points(d, none, row_id="id", company="c", company_id="ci", investor="v", investor_id="vi", round_type="r", url="u", time_us="t", arrived="at"))
+    assert {tuple(x) for x in run.repeats().collect()} == {(1, 2), (3, 4), (5, 6)}
