@@ -2,8 +2,8 @@
 
 Documents are read in shards. Of each shard a suffix array over its words is built (suffixes in the order of their first SEED words, words
 being ordered by their hash), and every suffix of every test item is looked up in it by binary search. That gives all places where a test
-item and the corpus agree for SEED words or more; each is extended to the longest verbatim match, and from there across single changed,
-added or missing words, as long as these are neither names nor figures. A document leaks an item if a stretch of the item of at least
+item and the corpus agree for SEED words or more; each is extended to the longest verbatim match, and from there, by a banded edit distance, across
+changed, added or missing words, as long as these are neither names nor figures. A document leaks an item if a stretch of the item of at least
 min_words words is covered with at most one such edit in edit_share words.
 
 Why no case is lost: a covered stretch can be cut into pieces of min_words to 2 * min_words - 1 words, one of which holds no more than
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 5
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,6});")
 _QUOTES, _SPACES = "’‘ʼ`´", "“”„«»‹›–—‑…•·→←★☆│├└─┌┐§¿¡€£¥©®™±    　、。，（）「」"
 _JOINERS = "­​﻿"
 _WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
@@ -137,28 +137,35 @@ def _runs(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, p_end: np.
 
 
 def _reach(items: Items, x: np.ndarray, names: np.ndarray, p: np.ndarray, q: np.ndarray, p_end: np.ndarray, q_end: np.ndarray, step: int, edits: int) -> np.ndarray:
-    """Item words covered from (p, q) on with 0, 1, ... edits, as columns."""
+    """Item words covered from (p, q) on with 0, 1, ... edits, as columns.
+
+    A banded edit distance: for each number of edits and each diagonal (added less missing words) the farthest place is kept, so edits may
+    stand next to each other and no choice between them is final. A word that is a name or a figure on either side isn't passed by an edit.
+    """
     out = np.zeros((len(p), edits + 1), np.int64)
     n = _runs(x, items.h, p, q, p_end, q_end, step)
     out[:, 0] = n
-    p, q, covered = p + step * n, q + step * n, n.copy()
-    inside = lambda a, b: (a < p_end) & (b < q_end) if step > 0 else (a >= p_end) & (b >= q_end)
+    inside = lambda a, end: a < end if step > 0 else a >= end
+    # far[d]: item words covered on diagonal d; -1 where it isn't reached. The document's place is p + step * (far + d).
+    far = {0: n}
     for e in range(1, edits + 1):
-        may_p, may_q = inside(p, q), inside(p, q)
-        may_p[may_p] = ~names[p[may_p]]
-        may_q[may_q] = ~items.fixed[q[may_q]]
-        best_n = np.zeros(len(p), np.int64)
-        best_p, best_q, best_c = p.copy(), q.copy(), np.zeros(len(p), np.int64)
-        # An added word in the document, a missing one, a changed one: the one that is followed by the longest run.
-        for dp, dq, may in ((1, 0, may_p), (0, 1, may_q), (1, 1, may_p & may_q)):
-            i = np.flatnonzero(may)
-            run = _runs(x, items.h, p[i] + step * dp, q[i] + step * dq, p_end[i], q_end[i], step)
-            better = i[run > best_n[i]]
-            r = run[run > best_n[i]]
-            best_n[better], best_c[better] = r, r + dq
-            best_p[better], best_q[better] = p[better] + step * (dp + r), q[better] + step * (dq + r)
-        p, q, covered = best_p, best_q, covered + best_c
-        out[:, e] = covered
+        new: dict[int, np.ndarray] = {}
+        for d, f in far.items():
+            at_p, at_q = p + step * (f + d), q + step * f
+            ok_p, ok_q = (f >= 0) & inside(at_p, p_end), (f >= 0) & inside(at_q, q_end)
+            ok_p[ok_p] = ~names[at_p[ok_p]]
+            ok_q[ok_q] = ~items.fixed[at_q[ok_q]]
+            # A word added in the document, one missing, one changed.
+            for to, may, dq in ((d + 1, ok_p, 0), (d - 1, ok_q, 1), (d, ok_p & ok_q, 1)):
+                new[to] = np.maximum(new.get(to, np.full(len(p), -1)), np.where(may, f + dq, -1))
+        for d, f in new.items():
+            i = np.flatnonzero(f >= 0)
+            run = _runs(x, items.h, p[i] + step * (f[i] + d), q[i] + step * f[i], p_end[i], q_end[i], step)
+            f[i] += run
+            closed = i[run > 0]  # what is covered ends with a word that agrees
+            out[closed, e] = np.maximum(out[closed, e], f[closed])
+            far[d] = np.maximum(f, far[d]) if d in far else f
+        out[:, e] = np.maximum(out[:, e], out[:, e - 1])
     return out
 
 

@@ -100,6 +100,7 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1.0 / 2048,
     group_tokens: int = 16_000_000,
+    group_parts: int = 200_000,
 ) -> DataFrame:
     """(row_id, piece, container, place, first_token, n_tokens): where each text goes; container is unique over the whole result.
 
@@ -108,8 +109,9 @@ def pack(
     tokens take a place without room. Repeated rows are placed each by itself. Equal sizes go in the order of row_id. An empty table gives no rows.
     """
     t = rows.select(F.col(row_id).alias("_id"), F.col(n_tokens).cast("long").alias("_n")).filter("_n is not null and _n >= 0")
-    total = t.agg(F.sum(F.col("_n") % capacity)).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
+    # A group is bounded in tokens to place and in parts, so neither empty texts nor texts of whole containers gather in one.
+    total, parts = t.agg(F.sum(F.col("_n") % capacity), F.sum(F.floor(F.col("_n") / capacity) + 1)).first()
+    groups = max(1, -(-(total or 0) // group_tokens), -(-(parts or 0) // group_parts))
     kind = t.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, piece int, container long, place int, first_token long, n_tokens int"
 

@@ -77,8 +77,11 @@ def alike_words(words: DataFrame, lost_grams: int = 8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("w").take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["w", "key"])
 
     posted = short.unionByName(prefix.mapInArrow(pairs, "w string, key string")).select("w", F.xxhash64("key").alias("k"))
+    posted = written(posted, "posted")  # both sides of the join read it
     x, y = posted.toDF("x", "k"), posted.toDF("y", "k")
-    edited = x.join(y, "k").filter((F.col("x") < F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= 2)).filter(F.levenshtein("x", "y", 4) >= 0).select("x", "y").distinct()
+    edited = x.join(y, "k").filter((F.col("x") < F.col("y")) & (F.abs(F.length("x") - F.length("y")) <= 2)).select("x", "y").distinct()
+    # A swap is one edit of two letters; words of fewer than seven letters may differ by one edit.
+    edited = edited.filter(F.levenshtein("x", "y", 4).between(0, F.when(F.greatest(F.length("x"), F.length("y")) < 7, 2).otherwise(4)))
 
     # Short forms, beginnings, plurals, initials and what is written without vowels.
     def whole(w: str) -> set[str]:
@@ -95,8 +98,8 @@ def alike_words(words: DataFrame, lost_grams: int = 8) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([alike(*w) > 0 for w in zip(b.column("x").to_pylist(), b.column("y").to_pylist())], pa.bool_()))
 
-    one = met.mapInArrow(verify, "x string, y string, edited boolean")
-    return written(one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"), "edited")), "alike")
+    one = written(met.mapInArrow(verify, "x string, y string, edited boolean"), "alike")
+    return one.unionByName(one.select(F.col("y").alias("x"), F.col("x").alias("y"), "edited"))
 
 
 def spelling_links(names: DataFrame, *, least: float = 0.65) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +107,7 @@ def spelling_links(names: DataFrame, *, least: float = 0.65) -> tuple[DataFrame,
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [tokens(x)[:40] if len(x) < 2000 else [x[:2000]] for x in b.column("name").to_pylist()]
+            words = [tokens(x) for x in b.column("name").to_pylist()]
             nums = [numerals(w) for w in words]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "kind", "name", "ids", "n")), pa.array(words, pa.list_(pa.string())), pa.array(nums, pa.string()), pa.array([" " + "".join(w) for w in words])], names=["id", "kind", "name", "ids", "n", "words", "nums", "joined"])
 
@@ -173,7 +176,7 @@ def spelling_pairs(mentions: DataFrame, *, kind: str, name: str, entity_id: str,
 
     Spellings are taken exactly as stored. NULL kinds and names are left out; empty or blank names have no tokens and get no pair; a NULL id means that
     nothing is known. Repeated rows count once. All columns but the three named are ignored. Numbers in a name ("Fund II") must agree.
-    Very long names are compared by their first 2,000 characters or 40 words. An empty table gives no rows.
+    Very long words and names are told by hashes of the whole (see tokens), so they are alike only if equal but for case and signs. An empty table gives no rows.
     """
     m = mentions.select(F.col(kind).alias("kind"), F.col(name).alias("name"), F.col(entity_id).cast("string").alias("e")).filter("kind is not null and name is not null")
     one = m.groupBy("kind", "name", "e").agg(F.count(F.lit(1)).alias("n"))

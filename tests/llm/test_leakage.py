@@ -67,3 +67,16 @@ def test_words_agree_with_the_plain_reading():
     assert len(h) == len(re.findall(r"\w+", re.sub(r"(?<=\d)[.,](?=\d)|(?<=\w)'(?=\w)", "", text))) + 2
     assert h[0] == h[-2] and of[-1] == 2 and not len(hashes([])[0])
     Items([1], [text], 5)
+
+
+def test_edits_next_to_each_other(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(40)]
+    put = lambda at, *new: [*words[:at], *new, *words[at + len(new) :]]
+    docs = [
+        (1, put(12, "changed", "twice")[:24]), (2, [*words[:12], "one", "two", *words[12:24]]), (3, [*words[:12], *words[14:26]]), (4, [*words[:12], "new", *words[13:20], "other", "third", *words[22:26]]),
+        (5, [*words[:14], "not", "enough", "words"]), (6, ["not", "enough", "words", *words[5:19]]), (7, put(6, "a", "b", "c")[:24]),
+    ]
+    d = spark.createDataFrame([(i, "start of text " + " ".join(w) + " end of it") for i, w in docs], "did long, t string")
+    t = spark.createDataFrame([(1, " ".join(words))], "iid long, t string")
+    found = {r.did for r in leaked_items(d, t, doc_id="did", doc_text="t", item_id="iid", item_text="t").collect()}
+    assert found == {1, 2, 3, 4, 7}  # 7 by its last fifteen words and the one changed before them
