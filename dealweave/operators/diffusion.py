@@ -5,6 +5,8 @@ Coins are hashes of (run, edge or node, round), so a run is reproducible whateve
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +18,11 @@ def coin(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def cascade(graph: DataFrame, seeds: DataFrame, p: float, rounds: int = 10) -> DataFrame:
-    """(run, node, round): independent cascades from seeds (run, node); each edge is tried once, when its source becomes active."""
+def cascade(graph: DataFrame, seeds: DataFrame, p: float, rounds: int | None = None) -> DataFrame:
+    """(run, node, round): independent cascades from seeds (run, node); each edge is tried once, when its source becomes active. They run out, or end after rounds."""
     edges = graph.select("src", "dst").distinct()
     seen = front = written(seeds.select("run", "node", F.lit(0).alias("round")).distinct(), "cascade")
-    for r in range(1, rounds + 1):
+    for r in count(1) if rounds is None else range(1, rounds + 1):
         tried = front.join(edges, front["node"] == edges["src"]).filter(coin(F.col("run").cast("string"), "src", "dst") < p)
         front = written(tried.select("run", F.col("dst").alias("node")).distinct().join(seen, ["run", "node"], "left_anti").withColumn("round", F.lit(r)), "cascade")
         if front.isEmpty():
@@ -29,12 +31,12 @@ def cascade(graph: DataFrame, seeds: DataFrame, p: float, rounds: int = 10) -> D
     return seen
 
 
-def thresholds(graph: DataFrame, seeds: DataFrame, lo: float = 0.3, hi: float = 0.7, rounds: int = 10) -> DataFrame:
-    """(run, node, round): a node turns active once the share of its in-neighbours that are active reaches its threshold in [lo, hi)."""
+def thresholds(graph: DataFrame, seeds: DataFrame, lo: float = 0.3, hi: float = 0.7, rounds: int | None = None) -> DataFrame:
+    """(run, node, round): a node turns active once the share of its in-neighbours that are active reaches its threshold in [lo, hi); until none does, or for rounds."""
     edges = graph.select("src", "dst").distinct()
     need = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("all"))
     seen = written(seeds.select("run", "node", F.lit(0).alias("round")).distinct(), "active")
-    for r in range(1, rounds + 1):
+    for r in count(1) if rounds is None else range(1, rounds + 1):
         on = seen.join(edges, seen["node"] == edges["src"]).groupBy("run", "dst").agg(F.count(F.lit(1)).alias("on")).join(need, "dst")
         reached = on.filter(F.col("on") / F.col("all") >= F.lit(lo) + F.lit(hi - lo) * coin(F.col("run").cast("string"), "dst"))
         new = written(reached.select("run", F.col("dst").alias("node")).join(seen, ["run", "node"], "left_anti").withColumn("round", F.lit(r)), "active")
@@ -62,7 +64,7 @@ def contagion(graph: DataFrame, seeds: DataFrame, beta: float, gamma: float, rou
     return counts
 
 
-def greedy_influence(graph: DataFrame, candidates: DataFrame, k: int, p: float, sims: int = 10, rounds: int = 10) -> list[str]:
+def greedy_influence(graph: DataFrame, candidates: DataFrame, k: int, p: float, sims: int = 10, rounds: int | None = None) -> list[str]:
     """The k seeds of candidates (node) that greedily add most to the mean spread; all candidates and simulations of a step run as one cascade."""
     chosen: list[str] = []
     spark = graph.sparkSession

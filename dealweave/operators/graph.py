@@ -7,6 +7,7 @@ grows faster than the graph are bounded by a documented size and raise beyond it
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -57,16 +58,17 @@ def oriented(und: DataFrame) -> tuple[DataFrame, DataFrame]:
     deg = und.select(F.col("a").alias("node")).union(und.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
     e = und.select("a", "b").join(deg.toDF("a", "ka"), "a").join(deg.toDF("b", "kb"), "b")
     low = F.struct("ka", "a") < F.struct("kb", "b")
-    return e.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v")), deg
+    directed = e.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
+    return written(directed, "oriented"), deg
 
 
 def triangles(und: DataFrame) -> DataFrame:
     """(node, k, triangles) of every node with an edge."""
-    e, deg = oriented(und)
+    e, deg = oriented(written(und.select("a", "b"), "und"))
     wedges = e.alias("x").join(e.alias("y"), "u").filter("x.v < y.v").select("u", F.col("x.v").alias("p"), F.col("y.v").alias("q"))
     closed = wedges.join(e.select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q")), ["p", "q"])
-    count = closed.select(F.explode(F.array("u", "p", "q")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("t"))
-    return deg.join(count, "node", "left").select("node", "k", F.coalesce("t", F.lit(0)).alias("triangles"))
+    found = closed.select(F.explode(F.array("u", "p", "q")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("t"))
+    return deg.join(found, "node", "left").select("node", "k", F.coalesce("t", F.lit(0)).alias("triangles"))
 
 
 def clustering(und: DataFrame) -> DataFrame:
@@ -126,17 +128,19 @@ def weak_components(graph: DataFrame) -> DataFrame:
     return named.withColumn("component", F.min("node").over(Window.partitionBy("root"))).select("node", "component")
 
 
-def bfs(und: DataFrame, sources: DataFrame, most: int = 200) -> DataFrame:
-    """(source, node, dist) of all nodes that sources (node) reach over undirected edges; one round a step, frontier against seen."""
+def bfs(und: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, dist) of all nodes that sources (node) reach over undirected edges; one round a step, frontier against seen, to the end."""
     both = und.select("a", "b").union(und.select("b", "a")).toDF("node", "next")
     both = written(both, "adjacent")
     seen = frontier = written(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("dist")), "bfs")
-    for step in range(1, most + 1):
+    for step in count(1):
         ahead = frontier.join(both, "node").select("source", F.col("next").alias("node")).distinct()
         frontier = written(ahead.join(seen, ["source", "node"], "left_anti").withColumn("dist", F.lit(step)), "bfs")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if step % 20 == 0:  # long chains: the plan stays short
+            seen = written(seen, "bfs")
     return seen
 
 
@@ -196,42 +200,51 @@ def exact_paths(und: DataFrame, most_nodes: int = 200_000) -> DataFrame:
     return by.agg(F.max("most").alias("diameter"), (F.sum("total") / F.sum("pairs")).alias("mean_distance"))
 
 
-def pagerank(graph: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(node, rank): weighted, dangling nodes spread over all, a fixed number of rounds."""
+def pagerank(graph: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank): weighted, dangling nodes spread over all; ends once the ranks move by less than tolerance for each node, raises after rounds."""
     d = degrees(graph)
     g = written(graph.join(d.select(F.col("node").alias("src"), "out_weight"), "src").select("src", "dst", (F.col("weight") / F.col("out_weight")).alias("p")), "transitions")
     n = d.count()
     all_nodes = written(d.select("node", (F.col("out_weight") == 0).alias("dangling")), "nodes")
     rank = all_nodes.select("node", "dangling", F.lit(1.0 / max(n, 1)).alias("rank"))
     for _ in range(rounds):
+        last = rank
         lost = rank.filter("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         into = g.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("in"))
         rank = all_nodes.join(into, "node", "left").join(F.broadcast(lost)).select(
             "node", "dangling", ((1 - damping) / n + damping * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / n)).alias("rank")
         )
         rank = written(rank, "rank")
-    return rank.select("node", "rank")
+        moved = rank.join(last.select("node", F.col("rank").alias("last")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("last")))).first()[0]
+        if (moved or 0.0) < n * tolerance:
+            return rank.select("node", "rank")
+    raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
-def eigenvector(graph: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, score): power iteration over incoming weights with a unit shift, L2-normalised each round."""
-    x = nodes(graph).withColumn("score", F.lit(1.0))
+def eigenvector(graph: DataFrame, rounds: int = 500, tolerance: float = 1e-6) -> DataFrame:
+    """(node, score): power iteration over incoming weights with a unit shift, L2-normalised; ends once scores move by less than tolerance for each node, raises after rounds."""
+    x = written(nodes(graph).withColumn("score", F.lit(1.0)), "scores")
+    n = x.count()
+    x = x.withColumn("score", F.lit(1.0 / max(n, 1) ** 0.5))
     g = graph.select("src", "dst", "weight")
     for _ in range(rounds):
         into = g.join(x.toDF("src", "s"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("s") * F.col("weight")).alias("in"))
         y = x.join(into, "node", "left").select("node", (F.col("score") + F.coalesce("in", F.lit(0.0))).alias("score"))
-        norm = y.agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
+        before, norm = x, y.agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
         x = y.join(F.broadcast(norm)).select("node", (F.col("score") / F.col("norm")).alias("score"))
-        x = written(x, "scores")
-    return x
+        last, x = before, written(x, "scores")
+        moved = x.join(last.select("node", F.col("score").alias("last")), "node").agg(F.sum(F.abs(F.col("score") - F.col("last")))).first()[0]
+        if (moved or 0.0) < n * tolerance:
+            return x
+    raise RuntimeError(f"scores did not settle in {rounds} rounds")
 
 
-def core_numbers(und: DataFrame, most: int = 100_000) -> DataFrame:
+def core_numbers(und: DataFrame) -> DataFrame:
     """(node, core): each node's core number, the fixed point of taking the greatest h with h neighbours at h or more, from the degrees on."""
     both = und.select("a", "b").union(und.filter("a <> b").select("b", "a")).toDF("node", "next").distinct()
     both = written(both, "adjacent")
     core = written(both.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("core")), "core")
-    for _ in range(most):
+    for _ in count():
         near = both.join(core.toDF("next", "v"), "next").groupBy("node", "v").agg(F.count(F.lit(1)).alias("n"))
         above = F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("v")))
         h = near.select("node", F.least("v", above).alias("h")).groupBy("node").agg(F.max("h").cast("int").alias("h"))

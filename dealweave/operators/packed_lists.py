@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dealweave.session import written
+
 DELIMITERS = frozenset("|;,/\t\r\n•·")
 OPEN, CLOSE, BLANK = frozenset("[{("), frozenset("]})"), frozenset("    ﻿")
 WORDS = (" and ", " & ")
@@ -140,15 +142,15 @@ def _outer(s: str) -> str:
     return s
 
 
-def unpack_lists(rows: DataFrame, values: DataFrame, *, row_id: str, text: str, value: str, dictionary_bytes: int = 48_000_000, group_rows: int = 20_000) -> DataFrame:
+def unpack_lists(rows: DataFrame, values: DataFrame, *, row_id: str, text: str, value: str, dictionary_bytes: int = 48_000_000) -> DataFrame:
     """(row_id, pos, val, known): one row per value packed in text; pos counts from 1 over values that aren't blank.
 
     known tells whether val is one of values. NULL and blank texts give no row; repeated rows are split again; NULL or blank
     dictionary values are left out and repeated ones count once; with an empty dictionary the delimiters, quotes and brackets
     alone decide. Between equal covers, the one with fewer values wins. Other columns are ignored.
 
-    The dictionary goes to each worker only up to dictionary_bytes. Beyond that it is cut into shards of that size: each shard's automaton
-    goes over all rows, in groups of group_rows, and the places found are brought together by row before the cover is picked.
+    The dictionary goes to each worker only up to dictionary_bytes. Beyond that it is cut into shards of that size, which go to the workers one
+    after the other and over all rows; the places found are brought together by row before the cover is picked.
     """
     spark = rows.sparkSession
     t = rows.select(F.col(row_id).alias("_id"), F.col(text).alias("_x")).filter("_x is not null and trim(_x) <> ''")
@@ -166,27 +168,30 @@ def unpack_lists(rows: DataFrame, values: DataFrame, *, row_id: str, text: str,
 
         out = t.mapInArrow(split, schema)
     else:
-        out = _sharded(t, d, -(-total // dictionary_bytes), group_rows, schema)
+        out = _sharded(t, d, -(-total // dictionary_bytes), schema)
     return out.select(F.col("_id").alias(row_id), "pos", "val", "known")
 
 
-def _sharded(t: DataFrame, d: DataFrame, shards: int, group_rows: int, schema: str) -> DataFrame:
+def _sharded(t: DataFrame, d: DataFrame, shards: int, schema: str) -> DataFrame:
+    """One shard of the dictionary after the other goes to the workers and over all rows; only the places found are shuffled."""
+    spark = t.sparkSession
     id_type = t.schema["_id"].dataType.simpleString()
-    t = t.withColumn("_u", F.xxhash64("_id", "_x"))
-    groups = max(1, -(-t.count() // group_rows))
-    shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard")
-    left = t.select("_u", "_x", shard, F.pmod("_u", F.lit(groups)).cast("int").alias("_g"))
-    right = d.select("_v", F.pmod(F.xxhash64("_v"), F.lit(shards)).cast("int").alias("_shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
-
-    def find(rows: pa.Table, words: pa.Table) -> pa.Table:
-        known = words.column("_v").to_pylist()
-        a, out = automaton(known), []
-        for u, x in zip(rows.column("_u").to_pylist(), rows.column("_x").to_pylist()):
-            out += [(u, s, e, known[i]) for s, e, i in spans(a, x)]
-        kinds = [("_u", pa.int64()), ("_s", pa.int32()), ("_e", pa.int32()), ("_w", pa.string())]
-        return pa.table([pa.array([r[k] for r in out], kind) for k, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
-
-    found = left.groupBy("_shard", "_g").cogroup(right.groupBy("_shard", "_g")).applyInArrow(find, "_u long, _s int, _e int, _w string")
+    t, d = t.withColumn("_u", F.xxhash64("_id", "_x")), written(d, "dictionary")
+    kinds = [("_u", pa.int64()), ("_s", pa.int32()), ("_e", pa.int32()), ("_w", pa.string())]
+    found = None
+    for k in range(shards):
+        words = spark.sparkContext.broadcast(sorted(r[0] for r in d.filter(F.pmod(F.xxhash64("_v"), F.lit(shards)) == k).collect()))
+
+        def find(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
+            known = words.value
+            a = automaton(known)
+            for b in batches:
+                out = [(u, s, e, known[i]) for u, x in zip(b.column("_u").to_pylist(), b.column("_x").to_pylist()) for s, e, i in spans(a, x)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+        part = written(t.select("_u", "_x").mapInArrow(find, "_u long, _s int, _e int, _w string"), "places")
+        words.destroy()
+        found = part if found is None else found.unionByName(part)
     by_row = found.distinct().groupBy("_u").agg(F.collect_list(F.struct("_s", "_e", "_w")).alias("_m"))  # bounded by a row's length
     met = t.join(by_row, "_u", "left").select("_id", "_x", "_m")
 

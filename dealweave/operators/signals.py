@@ -19,7 +19,11 @@ def swarm(panel: DataFrame, entries: DataFrame, months: int = 6, least: int = 5,
     their mean rank (tie="average"). Scores are those of the same eval_date, 0 where there is none.
     """
     dates = panel.select("eval_date").distinct()
-    near = entries.join(F.broadcast(dates), (F.col("first_entry_date") > F.add_months("eval_date", -months)) & (F.col("first_entry_date") <= F.col("eval_date")))
+    # Entries and dates meet by month: an entry can only count for the dates of its own and the following months.
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    reach = entries.withColumn("_m", F.explode(F.sequence(month("first_entry_date"), month("first_entry_date") + months)))
+    near = reach.join(dates.withColumn("_m", month("eval_date")), "_m").drop("_m")
+    near = near.filter((F.col("first_entry_date") > F.add_months("eval_date", -months)) & (F.col("first_entry_date") <= F.col("eval_date")))
     at = near.join(panel.select("eval_date", F.col("investor").alias("investor_name"), "tps", "in_top_tier"), ["eval_date", "investor_name"], "left")
     cell = Window.partitionBy("eval_date", "sector")
     if tie == "row":
@@ -133,11 +137,17 @@ def outcomes(signals: DataFrame, prices: DataFrame, benchmark: str, horizons: tu
     s = signals.select("signal_id", "ticker", "issued_on", F.explode(F.array(*map(F.lit, horizons))).alias("horizon_days")).withColumn("ends", F.date_add("issued_on", F.col("horizon_days")))
     if as_of is not None:
         s = s.filter(F.col("ends") <= F.lit(as_of).cast("date"))
-    both = s.select("*", F.explode(F.array(F.col("ticker"), F.lit(benchmark))).alias("of"))
-    p = prices.select(F.col("ticker").alias("of"), "day", "close")
-    met = both.join(p, "of").filter((F.col("day") >= F.col("issued_on")) & (F.col("day") <= F.col("ends")))
-    r = met.groupBy("signal_id", "horizon_days", "ticker", "of").agg(F.min_by("close", "day").alias("entry"), F.max_by("close", "day").alias("exit"))
-    r = r.withColumn("ret", F.col("exit") / F.col("entry") - 1)
+    both = s.select("*", F.explode(F.array_distinct(F.array(F.col("ticker"), F.lit(benchmark)))).alias("of"))
+    # As of each day asked for: the last price up to it and the first one from it on. Days are asked once for a ticker, however many signals it has.
+    p = prices.select(F.col("ticker").alias("of"), "day", F.struct("day", "close").alias("px"))
+    asked = both.select("of", F.explode(F.array("issued_on", "ends")).alias("day")).distinct()
+    all_ = p.unionByName(asked.withColumn("px", F.lit(None).cast(p.schema["px"].dataType)))
+    up, down = Window.partitionBy("of").orderBy("day"), Window.partitionBy("of").orderBy(F.desc("day"))
+    at = all_.withColumns({"last": F.last("px", True).over(up), "next": F.last("px", True).over(down)}).filter("px is null").drop("px")
+    # Where a price stands on the day itself, range frames hold it on both sides.
+    met = both.join(at.select("of", F.col("day").alias("issued_on"), F.col("next").alias("entry")), ["of", "issued_on"])
+    met = met.join(at.select("of", F.col("day").alias("ends"), F.col("last").alias("exit")), ["of", "ends"])
+    r = met.filter("entry.day <= ends and exit.day >= issued_on").withColumn("ret", F.col("exit.close") / F.col("entry.close") - 1)
     own, bench = r.filter("of = ticker").select("signal_id", "horizon_days", "ret"), r.filter(F.col("of") == benchmark).select("signal_id", "horizon_days", F.col("ret").alias("benchmark_ret"))
     return own.join(bench, ["signal_id", "horizon_days"]).withColumn("excess", F.col("ret") - F.col("benchmark_ret"))
 

@@ -89,9 +89,11 @@ def incremental_f(rows: DataFrame, y: str, fewer: Sequence[str], more: Sequence[
 
 def demean(rows: DataFrame, cols: Sequence[str], entity: str, time: str, simultaneous: bool = True) -> DataFrame:
     """cols within entity and time: x - its means + the grand mean, or one after the other."""
-    e, t, all_ = Window.partitionBy(entity), Window.partitionBy(time), Window.partitionBy()
+    e, t = Window.partitionBy(entity), Window.partitionBy(time)
     if simultaneous:
-        return rows.withColumns({c: F.col(c) - F.avg(c).over(e) - F.avg(c).over(t) + F.avg(c).over(all_) for c in cols})
+        grand = rows.agg(*[F.avg(c).alias(f"_all_{c}") for c in cols])  # one row
+        both = rows.join(F.broadcast(grand)).withColumns({c: F.col(c) - F.avg(c).over(e) - F.avg(c).over(t) + F.col(f"_all_{c}") for c in cols})
+        return both.drop(*[f"_all_{c}" for c in cols])
     once = rows.withColumns({c: F.col(c) - F.avg(c).over(e) for c in cols})
     return once.withColumns({c: F.col(c) - F.avg(c).over(t) for c in cols})
 
@@ -146,12 +148,20 @@ def rolling_alpha(returns: DataFrame, factors: DataFrame, names: Sequence[str],
     return j.select("series", "date", "_n", *sums).mapInPandas(solve, "series string, date date, alpha double")
 
 
-def placebo(rows: DataFrame, y: str, x: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+def _small(rows: DataFrame, most_rows: int) -> pd.DataFrame:
+    """rows on the driver; raises where there are more than most_rows."""
+    pdf = rows.limit(most_rows + 1).toPandas()
+    if len(pdf) > most_rows:
+        raise ValueError(f"resampling takes panels of up to {most_rows} rows")
+    return pdf
+
+
+def placebo(rows: DataFrame, y: str, x: str, draws: int = 1000, seed: int = 42, most_rows: int = 1_000_000) -> DataFrame:
     """One row: observed slope of y on x, the 99th percentile of slopes with x shuffled, the share of draws at least as large, and draws.
 
-    The panel of one signal is small (hundreds of rows); draws are spread over the tasks, each seeded by its number.
+    The panel of one signal is small (hundreds of rows; more than most_rows raise); draws are spread over the tasks, each seeded by its number.
     """
-    pdf = rows.select(y, x).na.drop().orderBy(x, y).toPandas()
+    pdf = _small(rows.select(y, x).na.drop(), most_rows).sort_values([x, y], ignore_index=True)
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast((pdf[y].to_numpy(float), pdf[x].to_numpy(float)))
 
@@ -169,9 +179,9 @@ def placebo(rows: DataFrame, y: str, x: str, draws: int = 1000, seed: int = 42)
     return drawn.agg(F.lit(seen).alias("observed"), F.percentile("slope", F.lit(0.99)).alias("p99"), F.avg((F.col("slope") >= seen).cast("double")).alias("p"), F.count(F.lit(1)).alias("draws"))
 
 
-def wild_bootstrap(rows: DataFrame, y: str, x: str, cluster: str, draws: int = 999, seed: int = 42) -> DataFrame:
+def wild_bootstrap(rows: DataFrame, y: str, x: str, cluster: str, draws: int = 999, seed: int = 42, most_rows: int = 1_000_000) -> DataFrame:
     """One row: the slope of y on x and its two-sided p by a wild cluster bootstrap with signs, the null imposed."""
-    pdf = rows.select(y, x, cluster).na.drop().orderBy(cluster, x, y).toPandas()
+    pdf = _small(rows.select(y, x, cluster).na.drop(), most_rows).sort_values([cluster, x, y], ignore_index=True)
     codes = pd.factorize(pdf[cluster])[0]
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast((pdf[y].to_numpy(float), pdf[x].to_numpy(float), codes))

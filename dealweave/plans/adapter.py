@@ -34,11 +34,6 @@ def graph(spark: SparkSession, d: str) -> DataFrame:
     return ops.assemble(edges(spark, d))
 
 
-def small_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The graph of the deals of two countries: what the SQL of lnk_missing says."""
-    return ops.assemble(ops.temporal_edges(deals(spark, d).filter("country_code in ('NATION_1', 'NATION_2')")))
-
-
 def quarters(spark: SparkSession) -> DataFrame:
     return spark.sql("select explode(sequence(date'1995-03-31', date'2001-09-30', interval 3 months)) as q").select(F.last_day("q").alias("eval_date"))
 
@@ -95,4 +90,3 @@ def sql(*parts: str) -> str:
 
 
 BASE = (DEALS, EDGES, GRAPH)
-SMALL = (DEALS.replace("where l_linenumber in (1, 2)", "where l_linenumber in (1, 2) and n_name in ('NATION_1', 'NATION_2')"), EDGES, GRAPH)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from dealweave.operators import deals as deal_ops
 from dealweave.operators import diffusion, graph, linkpred, prescience
+from dealweave.operators.ranking import placed
 from dealweave.plans import adapter as a
-from dealweave.plans.adapter import BASE, DEALS, NODES, QUARTERS, SMALL, UND, sql
+from dealweave.plans.adapter import BASE, DEALS, NODES, QUARTERS, UND, sql
 from dealweave.session import written
 
 QUERIES: dict = {}
@@ -65,7 +66,7 @@ def gra_degree_centrality(spark: SparkSession, d: str) -> DataFrame:
          (select count(*) as mutual from graph g semi join (select dst as src, src as dst from graph) h using (src, dst))""")
 )
 def gra_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _r(_r(graph.summary(a.graph(spark, d)), "density", "reciprocity", digits=9), "mean_degree")
+    return _r(_r(graph.summary(written(a.graph(spark, d), "graph")), "density", "reciprocity", digits=9), "mean_degree")
 
 
 @query(
@@ -105,7 +106,11 @@ def gra_induced(spark: SparkSession, d: str) -> DataFrame:
     return graph.induced(g, graph.top_nodes(g, 120)).select("src", "dst", "weight", "num_companies")
 
 
-@query()
+@query(
+    sql(*BASE, """both_ as (select src as a, dst as b from graph union select dst, src from graph),
+names as (select node, row_number() over (order by node) as i from (select distinct a as node from both_)), e as (select x.i as a, y.i as b from both_ join names x on x.node = a join names y on y.node = b)""",
+    "select x.node, y.node as component from (select node, min(root) as root from reach group by 1) r join names x on x.i = r.node join names y on y.i = r.root").replace("with deals", "with recursive deals").replace("\nselect x.node, y.node", ",\nreach as (select i as node, i as root from names union select e.b, reach.root from reach join e on e.a = reach.node)\nselect x.node, y.node")
+)
 def gra_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.weak_components(written(a.graph(spark, d), "graph"))
 
@@ -133,7 +138,7 @@ def gra_pagerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gra_eigenvector(spark: SparkSession, d: str) -> DataFrame:
-    return graph.eigenvector(written(a.graph(spark, d), "graph"), rounds=20)
+    return graph.eigenvector(written(a.graph(spark, d), "graph"))
 
 
 @query()
@@ -180,8 +185,9 @@ select node, floor(ri)::int as rank_in, floor(ro)::int as rank_out, (floor(ri) -
 )
 def gra_rank_divergence(spark: SparkSession, d: str) -> DataFrame:
     g = graph.degrees(a.graph(spark, d)).withColumn("in_weight", F.round("in_weight", 9))
-    rank = lambda c: F.floor(F.rank().over(Window.orderBy(F.desc(c))) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2).cast("int")
-    return g.select("node", rank("in_weight").alias("rank_in"), rank("out_degree").alias("rank_out")).withColumn("divergence", F.col("rank_in") - F.col("rank_out"))
+    for c, name in (("in_weight", "rank_in"), ("out_degree", "rank_out")):
+        g = placed(g, [F.desc(c)], rank=name).withColumn(name, F.floor(F.col(name) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2).cast("int"))
+    return g.select("node", "rank_in", "rank_out", (F.col("rank_in") - F.col("rank_out")).alias("divergence"))
 
 
 ORACLE["gra_rank_divergence"] = ORACLE["gra_rank_divergence"].replace("select node, in_degree, out_degree, in_weight from deg", "select node, in_degree, out_degree, round(in_weight, 9) as in_weight from deg")
@@ -230,7 +236,19 @@ def tps_temporal_split(spark: SparkSession, d: str) -> DataFrame:
     return _r(prescience.temporal_split(a.edges(spark, d), a.CUTOFF).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")), "weight", digits=4)
 
 
-@query()
+def _part(name: str, where: str) -> str:
+    """The graph, tier and degrees of some edges, under a prefix."""
+    return f"""{name}e as (select * from edges where {where}), {name}graph as (select source as src, target as dst, round(sum(weight), 4) as weight from {name}e group by 1, 2),
+{name}deg as (select node, sum(iw) as in_weight from (select dst as node, weight as iw from {name}graph union all select src, 0 from {name}graph) group by 1),
+{name}tier as (select node, in_weight / (select max(in_weight) from {name}deg) as in_rank from {name}deg where in_weight >= (select quantile_cont(in_weight, 0.8) from {name}deg))"""
+
+
+@query(
+    sql(DEALS, a.EDGES, _part("a", f"source_date <= date '{a.CUTOFF}'"), _part("b", f"source_date > date '{a.CUTOFF}'"), """pf as (select investor_name as investor, count(distinct company_name) as size from deals group by 1),
+best as (select source as investor, sum(weight * in_rank) / any_value(size) as tps from ae join atier on node = target join pf on pf.investor = source group by 1 order by 2 desc, 1 limit 50),
+hits as (select source, source in (select investor from best) as hit from be semi join btier on node = target), m as (select count(distinct source) filter (where hit) / 50.0::double as p, count(*) filter (where hit) / count(*)::double as r from hits)""",
+    "select round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1 from m")
+)
 def tps_evaluation(spark: SparkSession, d: str) -> DataFrame:
     deals = written(a.deals(spark, d), "deals")
     e = written(prescience.temporal_split(deal_ops.temporal_edges(deals), a.CUTOFF), "edges")
@@ -258,7 +276,11 @@ def lnk_scores(spark: SparkSession, d: str) -> DataFrame:
     return linkpred.link_scores(early, linkpred.only_first_round(early))
 
 
-@query()
+@query(
+    sql(DEALS, EARLY, LINKS, f"""s as (select company, investor, round(coalesce(sum(case when deg > 1 then 0.01 / ln(deg) end), 0), 4) as tps_aa from fresh join dg using (w) group by 1, 2),
+t as (select distinct company_name as company, investor_name as investor from deals where funded_at > date '{a.CUTOFF}'), r as (select *, row_number() over (order by tps_aa desc, company, investor) as r from s qualify r <= 50)""",
+    "select k, count(t.company) / k::double as precision from r left join t using (company, investor), (values (10), (20), (50)) v(k) where r <= k group by 1")
+)
 def lnk_precision(spark: SparkSession, d: str) -> DataFrame:
     deals = written(a.deals(spark, d), "deals")
     early = deals.filter(f"funded_at <= date'{a.CUTOFF}'")
@@ -268,35 +290,35 @@ def lnk_precision(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    sql(*SMALL, UND, """both_ as (select a as w, b as x from und union all select b, a from und), dg as (select w, count(*) as deg from both_ group by 1),
+    sql(*BASE, UND, """both_ as (select a as w, b as x from und union all select b, a from und), dg as (select w, count(*) as deg from both_ group by 1),
 s as (select p.x as a, q.x as b, sum(1 / ln(deg)) as aa from both_ p join both_ q on p.w = q.w and p.x < q.x join dg on dg.w = p.w group by 1, 2)
 select a, b, round(aa, 6) as aa from s anti join und using (a, b) order by 3 desc, a, b limit 3""")
 )
 def lnk_missing(spark: SparkSession, d: str) -> DataFrame:
-    return linkpred.missing_links(deal_ops.undirected(a.small_graph(spark, d)))
+    return linkpred.missing_links(written(deal_ops.undirected(a.graph(spark, d)), "und"))
 
 
 @query()
 def sim_cascade(spark: SparkSession, d: str) -> DataFrame:
     g = written(a.graph(spark, d), "graph")
     seeds = graph.top_nodes(g, 5).crossJoin(spark.range(3).select(F.col("id").alias("run")))
-    return diffusion.cascade(g, seeds, 0.05, 5).groupBy("run", "round").agg(F.count(F.lit(1)).alias("n"))
+    return diffusion.cascade(g, seeds, 0.05).groupBy("run", "round").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def sim_thresholds(spark: SparkSession, d: str) -> DataFrame:
     g = written(a.graph(spark, d), "graph")
-    return diffusion.thresholds(g, graph.top_nodes(g, 50).withColumn("run", F.lit(1)), rounds=4).groupBy("run", "round").agg(F.count(F.lit(1)).alias("n"))
+    return diffusion.thresholds(g, graph.top_nodes(g, 50).withColumn("run", F.lit(1))).groupBy("run", "round").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def sim_contagion(spark: SparkSession, d: str) -> DataFrame:
     g = written(a.graph(spark, d), "graph")
-    return diffusion.contagion(g, graph.top_nodes(g, 5).withColumn("run", F.lit(1)), 0.1, 0.2, 4)
+    return diffusion.contagion(g, graph.top_nodes(g, 5).withColumn("run", F.lit(1)), 0.1, 0.2, 10)
 
 
 @query()
 def sim_greedy_seeds(spark: SparkSession, d: str) -> DataFrame:
     g = written(a.graph(spark, d), "graph")
-    picked = diffusion.greedy_influence(g, graph.top_nodes(g, 10), 2, 0.1, sims=3, rounds=3)
+    picked = diffusion.greedy_influence(g, graph.top_nodes(g, 50), 5, 0.1, sims=10)
     return spark.createDataFrame(list(enumerate(picked, 1)), "place int, node string")

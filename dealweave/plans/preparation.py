@@ -101,4 +101,19 @@ ORACLE = {
         select entity, strftime(d, '%Y-%m-%d') as on_day from a
         union all
         select entity, strftime(d, '%Y-%m-%d') from b where n7 > 0 and s7 * n30 - s30 * n7 > 150000 * n7 * n30""",
+    "p7_silent_days": """
+        with s as (select investor_id, min((series_a_date at time zone 'UTC')::date) as d from silence_events
+                   where is_silent and investor_id is not null and series_a_date is not null group by silence_id, investor_id),
+        n as (select investor_id, d, count(*) as n from s group by all),
+        days as (select distinct investor_id, (d + i::int)::date as day from n, range(30) r(i)),
+        t as (select days.investor_id, day, coalesce(sum(n) filter (where n.d >= day - 6), 0)::double as t7, sum(n)::double as t30
+              from days join n on n.investor_id = days.investor_id and n.d between day - 29 and day group by all)
+        select investor_id, day, t7 as total_7, t7::bigint as n_7, case when t7 > 0 then 1.0::double end as mean_7, t30 as total_30, t30::bigint as n_30, 1.0::double as mean_30 from t""",
+    "p7_score_days": """
+        with m as (select sector, market, score_date as d, round(sms_score * 1e6)::double as v from sms_scores_live),
+        ends as (select sector, market, max(d) as last from m group by all),
+        days as (select distinct m.sector, m.market, (d + i::int)::date as day from m join ends using (sector, market), range(30) r(i) where d + i::int <= last),
+        t as (select days.sector, days.market, day, coalesce(sum(v) filter (where m.d >= day - 6), 0) as t7, count(v) filter (where m.d >= day - 6) as n7, coalesce(sum(v), 0) as t30, count(v) as n30
+              from days join m on m.sector = days.sector and m.market = days.market and m.d between day - 29 and day group by all)
+        select sector, market, day, t7 as total_7, n7 as n_7, case when n7 > 0 then t7 / n7 end as mean_7, t30 as total_30, n30 as n_30, case when n30 > 0 then t30 / n30 end as mean_30 from t""",
 }

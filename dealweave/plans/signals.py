@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dealweave.functions import text
 from dealweave.operators import deals as deal_ops
 from dealweave.operators import prescience, signals, stats
+from dealweave.operators.ranking import placed
 from dealweave.plans import adapter as a
 from dealweave.plans.adapter import DEALS, EDGES, QUARTERS, sql
 from dealweave.plans.network import EXPANDING
@@ -58,7 +59,7 @@ def ssi_swarm(spark: SparkSession, d: str) -> DataFrame:
     return _r(signals.swarm(_panel(spark, d), deal_ops.first_entries(a.deals(spark, d))), "ssi")
 
 
-@query()
+@query(sql(DEALS, EDGES, QUARTERS, EXPANDING, ENTRIES, SWARM.replace("row_number() over (partition by q.eval_date, sector order by first_entry_date, e.investor_name)", "rank() over (partition by q.eval_date, sector order by first_entry_date) + (count(*) over (partition by q.eval_date, sector, first_entry_date) - 1) / 2.0::double"), "select * from swarm"))
 def ssi_swarm_average_ties(spark: SparkSession, d: str) -> DataFrame:
     return _r(signals.swarm(_panel(spark, d), deal_ops.first_entries(a.deals(spark, d)), tie="average"), "ssi")
 
@@ -225,13 +226,13 @@ def sta_panel_regression(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def sta_placebo(spark: SparkSession, d: str) -> DataFrame:
     j = a.returns(spark, d).join(a.factors(spark, d), "date")
-    return stats.placebo(j, "ret", "mkt", draws=200)
+    return stats.placebo(j, "ret", "mkt", draws=1000)
 
 
 @query()
 def sta_wild_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     j = a.returns(spark, d).join(a.factors(spark, d), "date")
-    return stats.wild_bootstrap(j, "ret", "mkt", "series", draws=199)
+    return stats.wild_bootstrap(j, "ret", "mkt", "series", draws=999)
 
 
 # Profiles.
@@ -273,8 +274,15 @@ def biz_stage_distribution(spark: SparkSession, d: str) -> DataFrame:
 select investor_id, round(tps, 6) as tps, rank() over (order by tps desc) as place, round((rank() over (order by tps) - 1) / n::double * 100, 6) as percentile, ntile(4) over (order by tps desc, investor_id) as quarter from p, n""")
 def biz_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "tps_panel").filter("tps is not null and investor_id is not null").groupBy("investor_id").agg(F.max("tps").alias("tps"))
-    up, all_ = Window.orderBy("tps"), Window.partitionBy()
-    return p.select("investor_id", F.round("tps", 6).alias("tps"), F.rank().over(Window.orderBy(F.desc("tps"))).alias("place"), F.round((F.rank().over(up) - 1) / F.count(F.lit(1)).over(all_) * 100, 6).alias("percentile"), F.ntile(4).over(Window.orderBy(F.desc("tps"), "investor_id")).alias("quarter"))
+    p = placed(p, [F.desc("tps"), F.col("investor_id")], row="row", total="n")
+    least, n = F.min("row").over(Window.partitionBy("tps")), F.col("n")
+    same = F.count(F.lit(1)).over(Window.partitionBy("tps"))
+    p = p.withColumns({"place": least, "below": n - least + 1 - same})
+    # The first n % 4 quarters have one more.
+    small, more = F.floor(n / 4), n % 4
+    edge = more * (small + 1)
+    quarter = F.when(F.col("row") <= edge, F.floor((F.col("row") - 1) / (small + 1)) + 1).otherwise(more + F.floor((F.col("row") - edge - 1) / F.greatest(small, F.lit(1))) + 1)
+    return p.select("investor_id", F.round("tps", 6).alias("tps"), F.col("place").cast("long").alias("place"), F.round(F.col("below") / n * 100, 6).alias("percentile"), quarter.cast("long").alias("quarter"))
 
 
 @query("""select sector, round(median(sms_score), 6) as median, round(quantile_cont(sms_score, 0.9), 6) as p90, round(stddev_samp(sms_score), 6) as sd, count(*) filter (where sms_score > 0.5) as n_high,
@@ -302,9 +310,10 @@ def biz_latest_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("""with z as (select community_id, size, (mean_tps - avg(mean_tps) over ()) / nullif(stddev_samp(mean_tps) over (), 0) as zt, (mean_in_degree - avg(mean_in_degree) over ()) / nullif(stddev_samp(mean_in_degree) over (), 0) as zi from community_summary)
 select community_id, round(coalesce(zt, 0), 6) as z_tps, round(coalesce(zi, 0), 6) as z_in, round(0.6 * coalesce(zt, 0) + 0.4 * coalesce(zi, 0), 6) as composite from z""")
 def biz_composite(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy()
-    z = lambda c: F.coalesce((F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_samp(c).over(w), F.lit(0.0)), F.lit(0.0))
-    s = table(spark, d, "community_summary").select("community_id", z("mean_tps").alias("z_tps"), z("mean_in_degree").alias("z_in"))
+    z = lambda c: F.coalesce((F.col(c) - F.col(f"avg_{c}")) / F.nullif(F.col(f"sd_{c}"), F.lit(0.0)), F.lit(0.0))
+    t = table(spark, d, "community_summary")
+    of = t.agg(*[f(c).alias(f"{n}_{c}") for c in ("mean_tps", "mean_in_degree") for n, f in (("avg", F.avg), ("sd", F.stddev_samp))])
+    s = t.join(F.broadcast(of)).select("community_id", z("mean_tps").alias("z_tps"), z("mean_in_degree").alias("z_in"))
     return _r(s.withColumn("composite", 0.6 * F.col("z_tps") + 0.4 * F.col("z_in")), "z_tps", "z_in", "composite")
 
 
@@ -346,14 +355,6 @@ def txt_amount(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", text.amount_of_text(F.col("text")).alias("amount"))
 
 
-@query()
-def txt_fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers' names against those of the same number among customers, by both measures."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
-    j = s.join(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name"), "k")
-    return j.select("k", F.round(text.bigram_dice(F.col("s_name"), F.col("c_name")), 6).alias("dice"), F.round(text.matching_ratio("s_name", "c_name"), 6).alias("ratio"))
-
-
 @query("""select event_id, sha256('v1|' || event_id || '|' || user_id || '|' || event_type) as receipt from events""")
 def hsh_receipts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", text.chain(F.lit("v1|"), F.col("event_id"), F.lit("|"), F.col("user_id"), F.lit("|"), F.col("event_type")).alias("receipt"))

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is set only where the session names none (tests)."""
+    """The folder named in spark.checkpoint.dir; a local one is set only where a local session names none (tests). A cluster's session must name one."""
     sc = spark.sparkContext
     named = sc._jsc.sc().getCheckpointDir()
     if named.isDefined():
         return named.get()
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not at and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="dealweave-")
     sc.setCheckpointDir(at)

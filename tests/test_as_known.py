@@ -48,3 +48,16 @@ def test_matches_brute_force_with_nulls_ties_repeats_and_salting(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a", D(2020, 1, 1), T(2020, 1, 1), True, 1.0, "")]) == []
     assert run(spark, [(1, "a", T(2020, 1, 1), "")], []) == [(1, None, None, None)]
+
+
+def test_kept_snapshots_brought_up_to_date(spark):
+    from dealweave.operators.as_known import snapshot_table
+
+    rnd = random.Random(2)
+    versions = [(i, rnd.choice("abc"), D(2020, 1, 1) + dt.timedelta(days=rnd.randrange(300)), T(2020, 1, 1) + dt.timedelta(days=i), True, float(i), "x") for i in range(200)]
+    events = [(i, rnd.choice("abcd"), T(2020, 1, 1) + dt.timedelta(days=rnd.randrange(400)), "y") for i in range(200)]
+    of = dict(entity="who", version_id="vid", valid_from="from_", visible_at="seen", attributes=["tier", "score"], period_days=20)
+    part = lambda rows: spark.createDataFrame(rows, VERSIONS)
+    kept = snapshot_table(part(versions[120:]), before=snapshot_table(part(versions[:120]), **of), **of)
+    assert sorted(map(tuple, kept.select("_k", "_p", "_s.vid").collect())) == sorted(map(tuple, snapshot_table(part(versions), **of).select("_k", "_p", "_s.vid").collect()))
+    assert run(spark, events, versions, period_days=20, snapshots=kept) == brute(events, versions)

@@ -33,7 +33,7 @@ def packed(rnd, values):
     return rnd.choice(["", " ", d]) + d.join(values) + rnd.choice(["", " ", d])
 
 
-@pytest.mark.parametrize("kw", [{}, {"dictionary_bytes": 20, "group_rows": 7}])
+@pytest.mark.parametrize("kw", [{}, {"dictionary_bytes": 20}])
 def test_round_trip_of_any_packing(spark, kw):
     rnd = random.Random(5)
     want, rows = {}, []
