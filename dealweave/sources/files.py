@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import logging
+import uuid
 from collections.abc import Iterator, Sequence
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from dealweave.session import written
 
+log = logging.getLogger(__name__)
 FACTORS = ("mkt", "smb", "hml", "rmw", "cma", "rf")
 
 
@@ -69,32 +71,37 @@ def random_graph(spark: SparkSession, n: int = 200, p: float = 0.05, seed: int =
     return pairs.filter((F.col("src") != F.col("dst")) & (F.col("u") < p)).select(F.col("src").cast("string"), F.col("dst").cast("string"), F.lit(1.0).alias("weight"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 class Catalog:
-    """Named tables: the first existing path with the required columns wins; a table that is missing or unreadable is an empty frame."""
+    """Named tables: the first root that has one wins; a table that is nowhere, or lacks a declared column, is an empty frame. Roots are Hadoop paths."""
 
     def __init__(self, spark: SparkSession, schemas: dict[str, str], roots: Sequence[str]):
         self.spark, self.schemas, self.roots = spark, schemas, list(roots)
 
-    def table(self, name: str, **equals: object) -> DataFrame:
-        if name not in self.schemas:
-            raise KeyError(name)
+    def table(self, name: str, order: Sequence[str] = (), limit: int | None = None, **wanted: object) -> DataFrame:
+        """The table's declared columns; wanted values are equal ones or lists of them. An undeclared name raises KeyError."""
         schema = T.StructType.fromDDL(self.schemas[name])
         out = self.spark.createDataFrame([], schema)
         for root in self.roots:
-            try:
-                if Path(f"{root}/{name}.parquet").exists():
-                    found = self.spark.read.parquet(f"{root}/{name}.parquet")
-                elif Path(f"{root}/{name}.csv").exists():
-                    found = read_csv(self.spark, f"{root}/{name}.csv", self.schemas[name])
-                else:
-                    continue
-                out = found.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-                break
-            except Exception:  # noqa: BLE001 - unreadable: the next root
+            if _exists(self.spark, f"{root}/{name}.parquet"):
+                found = self.spark.read.parquet(f"{root}/{name}.parquet")
+            elif _exists(self.spark, f"{root}/{name}.csv"):
+                found = read_csv(self.spark, f"{root}/{name}.csv", self.schemas[name])
+            else:
                 continue
-        for column, value in equals.items():
-            out = out.filter(F.col(column) == F.lit(value))
-        return out
+            if missing := {f.name for f in schema} - set(found.columns):
+                log.warning("%s/%s lacks %s and is passed over", root, name, sorted(missing))
+                continue
+            out = found.select(*[F.col(f.name).cast(f.dataType) for f in schema])
+            break
+        for column, value in wanted.items():
+            out = out.filter(F.col(column).isin(list(value)) if isinstance(value, (list, tuple, set)) else F.col(column) == F.lit(value))
+        out = out.orderBy(*order) if order else out
+        return out if limit is None else out.limit(limit)
 
     def register(self) -> None:
         for name in self.schemas:
@@ -107,8 +114,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
 
 def read_through(spark: SparkSession, path: str, compute) -> DataFrame:
     """The table at path, computed and written first where it isn't there."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+    if not _exists(spark, path):
         compute().write.parquet(path)
     return spark.read.parquet(path)
 
@@ -127,13 +133,56 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[
     return old.join(renamed, on, "left_anti").unionByName(latest)
 
 
-def upsert_path(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> None:
-    """Upserts into a Parquet table; the new state is written aside first, so a failed write leaves the old one."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-        upsert(spark.createDataFrame([], new.schema), new, keys, order).write.parquet(path)
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """(number, content) of the newest manifest of an upserted table; (0, {}) where there is none."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(fs_path(f"{path}/_manifests")):
+        return 0, {}
+    names = [x.getPath().getName() for x in fs.listStatus(fs_path(f"{path}/_manifests"))]
+    last = max((int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit()), default=0)
+    if not last:
+        return 0, {}
+    text = spark.read.option("wholetext", True).text(f"{path}/_manifests/{last:012d}.json").first()[0]
+    return last, json.loads(text)
+
+
+def upsert_path(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], order: Sequence[str] = (), buckets: int = 64) -> None:
+    """Upserts into a table of Parquet files in buckets by key; read it by read_upserted.
+
+    Only the buckets that new has keys of are read and written, into files of their own; a manifest, created last, then names the files of each bucket. So a write
+    that fails, or is done again, leaves the table as it was. Files that no manifest names any more may be deleted.
+    """
+    number, now = _manifest(spark, path)
+    fresh = written(new.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "upsert")
+    touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]
+    if not touched and number:
         return
-    written(upsert(spark.read.parquet(path), new, keys, order), "upsert").write.mode("overwrite").parquet(path)
+    files = now.get("files", {})
+    at = [files[str(k)] for k in touched if str(k) in files]
+    schema = new.schema if not now else T.StructType.fromJson(now["schema"])
+    base = spark.read.schema(schema).parquet(*at) if at else spark.createDataFrame([], schema)
+    version = f"{path}/data-{uuid.uuid4().hex}"
+    state = upsert(base, fresh.drop("_bucket"), keys, order).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    state.repartition("_bucket").write.partitionBy("_bucket").parquet(version)
+    content = json.dumps({"schema": schema.jsonValue(), "files": files | {str(k): f"{version}/_bucket={k}" for k in touched}})
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside, to = fs_path(f"{path}/_manifests/aside-{uuid.uuid4().hex}"), fs_path(f"{path}/_manifests/{number + 1:012d}.json")
+    out = fs.create(aside, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    if not fs.rename(aside, to):
+        raise RuntimeError(f"another writer made manifest {number + 1} of {path}")
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame:
+    """The table that upsert_path keeps; raises where there is none."""
+    number, now = _manifest(spark, path)
+    if not number:
+        raise FileNotFoundError(path)
+    schema = T.StructType.fromJson(now["schema"])
+    return spark.read.schema(schema).parquet(*now["files"].values()) if now["files"] else spark.createDataFrame([], schema)
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

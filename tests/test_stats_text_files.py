@@ -80,7 +80,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,n\nx,1\ny,oops\n")
     assert files.read_csv(spark, str(tmp_path / "a.csv"), "id string, n int").count() == 2
     c = files.Catalog(spark, {"a": "id string, n int", "b": "z int"}, [str(tmp_path / "none"), str(tmp_path)])
-    assert c.table("a", id="x").first().n == 1 and c.table("b").count() == 0
+    assert c.table("a", id="x").first().n == 1 and c.table("b").count() == 0 and c.table("a", order=["n"], limit=1, id=["x", "z"]).count() == 1
     with pytest.raises(KeyError):
         c.table("nope")
     feed = tmp_path / "feed"
@@ -95,7 +95,13 @@ def test_files(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     files.upsert_path(spark, path, old, ["x", "y"])
     files.upsert_path(spark, path, new, ["x", "y"])
-    assert spark.read.parquet(path).count() == 3
+    assert sorted(map(tuple, files.read_upserted(spark, path).collect())) == [("a", None, 5), ("b", "k", 2), ("c", "k", 3)]
+    files.upsert_path(spark, path, new.limit(0), ["x", "y"])
+    with pytest.raises(Exception):
+        files.upsert_path(spark, path, new.withColumn("v", F.raise_error(F.lit("broken")).cast("int")), ["x", "y"])
+    assert files.read_upserted(spark, path).count() == 3
+    with pytest.raises(FileNotFoundError):
+        files.read_upserted(spark, path + "-none")
     files.write_bundle({"a": old, "b": new.limit(0)}, str(tmp_path / "o.json"))
     assert len(pd.read_json(tmp_path / "o.json", typ="series")["a"]) == 2
     assert files.file_hashes(spark, str(tmp_path / "f.txt")).first().length > 0
@@ -128,7 +134,7 @@ def test_streams_agree_with_their_batches(spark, tmp_path):
     want = {(r["window"]["end"], r["n"]) for r in spark.read.parquet(str(src)).groupBy(F.window("ts", "10 days", "5 days")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got and got <= want
     live.run_once(live.deduplicated(stream, ["company", "investor", "kind"]), str(tmp_path / "sink.parquet"), str(tmp_path / "c2"), ["company", "investor", "kind"])
-    assert spark.read.parquet(str(tmp_path / "sink.parquet")).count() == 5
+    assert files.read_upserted(spark, str(tmp_path / "sink.parquet")).count() == 5
 
 
 def test_pending_silences(spark, tmp_path):
