@@ -5,6 +5,7 @@ Coins are hashes of (run, edge or node, round), so a run is reproducible whateve
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -18,12 +19,15 @@ def coin(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def cascade(graph: DataFrame, seeds: DataFrame, p: float, rounds: int | None = None) -> DataFrame:
-    """(run, node, round): independent cascades from seeds (run, node); each edge is tried once, when its source becomes active. They run out, or end after rounds."""
+def cascade(graph: DataFrame, seeds: DataFrame, p: float, rounds: int | None = None, draw: Callable[[Column], Column] = lambda run: run) -> DataFrame:
+    """(run, node, round): independent cascades from seeds (run, node); each edge is tried once, when its source becomes active. They run out, or end after rounds.
+
+    Runs of which draw makes the same share their coins.
+    """
     edges = graph.select("src", "dst").distinct()
     seen = front = written(seeds.select("run", "node", F.lit(0).alias("round")).distinct(), "cascade")
     for r in count(1) if rounds is None else range(1, rounds + 1):
-        tried = front.join(edges, front["node"] == edges["src"]).filter(coin(F.col("run").cast("string"), "src", "dst") < p)
+        tried = front.join(edges, front["node"] == edges["src"]).filter(coin(draw(F.col("run")).cast("string"), "src", "dst") < p)
         front = written(tried.select("run", F.col("dst").alias("node")).distinct().join(seen, ["run", "node"], "left_anti").withColumn("round", F.lit(r)), "cascade")
         if front.isEmpty():
             break
@@ -47,34 +51,41 @@ def thresholds(graph: DataFrame, seeds: DataFrame, lo: float = 0.3, hi: float =
 
 
 def contagion(graph: DataFrame, seeds: DataFrame, beta: float, gamma: float, rounds: int = 10) -> DataFrame:
-    """(run, round, infected, recovered): nodes ill and recovered after each round."""
-    edges = graph.select("src", "dst").distinct()
-    ill = written(seeds.select("run", "node").distinct(), "ill")
-    gone = ill.limit(0)
-    counts = ill.groupBy("run").agg(F.count(F.lit(1)).alias("infected")).select("run", F.lit(0).alias("round"), "infected", F.lit(0).cast("long").alias("recovered"))
+    """(run, round, infected, recovered): nodes ill and recovered after each round; ends early once nobody is ill."""
+    edges = written(graph.select("src", "dst").distinct(), "edges")
+    state = written(seeds.select("run", "node", F.lit(True).alias("ill")).distinct(), "state")
+    after = state.select("run", F.lit(0).alias("round"), "ill")
     for r in range(1, rounds + 1):
+        ill = state.filter("ill")
         tried = ill.join(edges, ill["node"] == edges["src"]).filter(coin(F.col("run").cast("string"), "src", "dst", F.lit(str(r))) < beta)
-        new = tried.select("run", F.col("dst").alias("node")).distinct().join(ill.unionByName(gone), ["run", "node"], "left_anti")
+        new = tried.select("run", F.col("dst").alias("node")).distinct().join(state, ["run", "node"], "left_anti").withColumn("ill", F.lit(True))
         heals = coin(F.col("run").cast("string"), "node", F.lit(f"h{r}")) < gamma
-        healed = ill.filter(heals)
-        gone = written(gone.unionByName(healed), "recovered")
-        ill = written(ill.filter(~heals).unionByName(new), "ill")
-        both = ill.groupBy("run").agg(F.count(F.lit(1)).alias("infected")).join(gone.groupBy("run").agg(F.count(F.lit(1)).alias("recovered")), "run", "full_outer")
-        counts = counts.unionByName(both.select("run", F.lit(r).alias("round"), F.coalesce("infected", F.lit(0)).alias("infected"), F.coalesce("recovered", F.lit(0)).alias("recovered")))
-    return counts
+        state = written(state.withColumn("ill", F.col("ill") & ~heals).unionByName(new), "state")
+        after = after.unionByName(state.select("run", F.lit(r).alias("round"), "ill"))
+        if state.filter("ill").isEmpty():
+            break
+    return after.groupBy("run", "round").agg(F.count_if("ill").alias("infected"), F.count_if(~F.col("ill")).alias("recovered"))
 
 
 def greedy_influence(graph: DataFrame, candidates: DataFrame, k: int, p: float, sims: int = 10, rounds: int | None = None) -> list[str]:
-    """The k seeds of candidates (node) that greedily add most to the mean spread; all candidates and simulations of a step run as one cascade."""
-    chosen: list[str] = []
+    """The k seeds of candidates (node) that greedily add most to the mean spread, fewer once none adds anything; ties go to the smaller.
+
+    All candidates of a simulation share its coins, so what several seeds reach together is the union of what each reaches: one cascade of all
+    candidates and simulations is enough, and each step counts what a candidate adds to what is covered.
+    """
     spark = graph.sparkSession
+    runs = candidates.select("node").distinct().crossJoin(F.broadcast(spark.range(sims).select(F.col("id").alias("sim"))))  # sims is a small constant
+    sim = lambda run: F.element_at(F.split(run, "~"), -1)
+    reached = cascade(graph, runs.select(F.concat_ws("~", "node", "sim").alias("run"), "node"), p, rounds, sim)
+    reached = written(reached.select(F.regexp_extract("run", "^(.*)~[0-9]+$", 1).alias("candidate"), sim(F.col("run")).alias("sim"), "node"), "reached")
+    chosen: list[str] = []
     for _ in range(k):
-        left = candidates.select("node").distinct().filter(~F.col("node").isin(chosen)) if chosen else candidates.select("node").distinct()
-        runs = left.crossJoin(F.broadcast(spark.range(sims).select(F.col("id").alias("sim"))))  # sims is a small constant
-        runs = runs.select(F.concat_ws("~", "node", "sim").alias("run"), F.col("node").alias("candidate"), F.array(F.col("node"), *map(F.lit, chosen)).alias("s"))
-        spread = cascade(graph, runs.select("run", F.explode("s").alias("node")), p, rounds).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-        best = spread.groupBy(F.element_at(F.split("run", "~"), 1).alias("c")).agg(F.avg("n").alias("m")).orderBy(F.desc("m"), "c").first()
+        left = reached
+        if chosen:
+            done = F.col("candidate").isin(chosen)
+            left = reached.filter(~done).join(reached.filter(done).select("sim", "node").distinct(), ["sim", "node"], "left_anti")
+        best = left.groupBy("candidate").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "candidate").first()
         if best is None:
             break
-        chosen.append(best.c)
+        chosen.append(best.candidate)
     return chosen

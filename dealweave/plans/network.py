@@ -302,23 +302,23 @@ def lnk_missing(spark: SparkSession, d: str) -> DataFrame:
 def sim_cascade(spark: SparkSession, d: str) -> DataFrame:
     g = written(a.graph(spark, d), "graph")
     seeds = graph.top_nodes(g, 5).crossJoin(spark.range(3).select(F.col("id").alias("run")))
-    return diffusion.cascade(g, seeds, 0.05).groupBy("run", "round").agg(F.count(F.lit(1)).alias("n"))
+    return diffusion.cascade(g, seeds, 0.05, 30).groupBy("run", "round").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def sim_thresholds(spark: SparkSession, d: str) -> DataFrame:
     g = written(a.graph(spark, d), "graph")
-    return diffusion.thresholds(g, graph.top_nodes(g, 50).withColumn("run", F.lit(1))).groupBy("run", "round").agg(F.count(F.lit(1)).alias("n"))
+    return diffusion.thresholds(g, graph.top_nodes(g, 50).withColumn("run", F.lit(1)), rounds=30).groupBy("run", "round").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def sim_contagion(spark: SparkSession, d: str) -> DataFrame:
     g = written(a.graph(spark, d), "graph")
-    return diffusion.contagion(g, graph.top_nodes(g, 5).withColumn("run", F.lit(1)), 0.1, 0.2, 10)
+    return diffusion.contagion(g, graph.top_nodes(g, 5).withColumn("run", F.lit(1)), 0.1, 0.2, 50)
 
 
 @query()
 def sim_greedy_seeds(spark: SparkSession, d: str) -> DataFrame:
     g = written(a.graph(spark, d), "graph")
-    picked = diffusion.greedy_influence(g, graph.top_nodes(g, 50), 5, 0.1, sims=10)
+    picked = diffusion.greedy_influence(g, graph.top_nodes(g, 50), 5, 0.1, sims=10, rounds=20)
     return spark.createDataFrame(list(enumerate(picked, 1)), "place int, node string")
