@@ -25,7 +25,8 @@ def test_queries_read_the_graph_of_all_countries(spark, folder):
     for name in ("gra_cores", "gra_louvain"):
         assert {r.node for r in network.QUERIES[name](spark, folder).collect()} == every
     assert network.QUERIES["gra_exact_paths"](spark, folder).first().diameter >= 2
-    assert {r.node for r in network.QUERIES["sim_greedy_seeds"](spark, folder).collect()} <= every and network.QUERIES["sim_greedy_seeds"](spark, folder).count() >= 2
+    picked = [r.node for r in network.QUERIES["sim_greedy_seeds"](spark, folder).collect()]
+    assert set(picked) <= every and len(picked) >= 2
 
 
 def test_exact_paths_over_more_than_three_thousand_nodes(spark):
