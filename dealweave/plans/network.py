@@ -228,7 +228,7 @@ panel as (select rw.eval_date, rw.investor, tps_raw / size as tps, in_top_tier f
 
 @query(sql(DEALS, a.EDGES, QUARTERS, EXPANDING, "select eval_date, investor, round(tps, 6) as tps, in_top_tier from panel"))
 def tps_expanding(spark: SparkSession, d: str) -> DataFrame:
-    return _r(prescience.expanding_scores(written(a.edges(spark, d), "edges"), a.quarters(spark)), "tps")
+    return _r(prescience.expanding_scores(written(a.edges(spark, d).select("source", "target", "company", "weight", "source_date"), "edges"), a.quarters(spark)), "tps")
 
 
 @query(sql(DEALS, a.EDGES, f"select case when source_date <= date '{a.CUTOFF}' then 'train' else 'test' end as part, count(*) as n, round(sum(weight), 4) as weight from edges group by 1"))
