@@ -19,11 +19,9 @@ def swarm(panel: DataFrame, entries: DataFrame, months: int = 6, least: int = 5,
     their mean rank (tie="average"). Scores are those of the same eval_date, 0 where there is none.
     """
     dates = panel.select("eval_date").distinct()
-    # Entries and dates meet by month: an entry can only count for the dates of its own and the following months.
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    reach = entries.withColumn("_m", F.explode(F.sequence(month("first_entry_date"), month("first_entry_date") + months)))
-    near = reach.join(dates.withColumn("_m", month("eval_date")), "_m").drop("_m")
-    near = near.filter((F.col("first_entry_date") > F.add_months("eval_date", -months)) & (F.col("first_entry_date") <= F.col("eval_date")))
+    # The dates are a short list, so entries meet them in place and are not shuffled for it.
+    since = (F.col("first_entry_date") > F.add_months("eval_date", -months)) & (F.col("first_entry_date") <= F.col("eval_date"))
+    near = entries.join(F.broadcast(dates), since)
     at = near.join(panel.select("eval_date", F.col("investor").alias("investor_name"), "tps", "in_top_tier"), ["eval_date", "investor_name"], "left")
     cell = Window.partitionBy("eval_date", "sector")
     if tie == "row":
@@ -33,7 +31,7 @@ def swarm(panel: DataFrame, entries: DataFrame, months: int = 6, least: int = 5,
         rank = F.rank().over(cell.orderBy("first_entry_date")) + (same - 1) / 2
     at = at.withColumns({"rank": rank, "pit": F.coalesce("tps", F.lit(0.0))})
     s = at.groupBy("eval_date", "sector").agg(
-        F.round(F.sum(F.col("pit") / F.col("rank")), 8).alias("ssi"), F.count(F.lit(1)).cast("double").alias("ssi_dumb"), F.count(F.lit(1)).alias("n_entrants"),
+        F.sum(F.col("pit") / F.col("rank")).alias("ssi"), F.count(F.lit(1)).cast("double").alias("ssi_dumb"), F.count(F.lit(1)).alias("n_entrants"),
         F.round(F.avg("pit"), 6).alias("mean_tps_pit"), F.round(F.max("pit"), 6).alias("max_tps_pit"), F.count_if(F.coalesce("in_top_tier", F.lit(False))).alias("n_top_tier"),
         F.datediff(F.max("first_entry_date"), F.min("first_entry_date")).cast("double").alias("ipd_spread_days"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_entry_date", "investor_name"))), lambda x: x["investor_name"]), "|").alias("swarm_investors"),

@@ -12,7 +12,7 @@ from dealweave.operators.ranking import placed
 from dealweave.plans import adapter as a
 from dealweave.plans.adapter import DEALS, EDGES, QUARTERS, sql
 from dealweave.plans.network import EXPANDING
-from dealweave.session import table, written
+from dealweave.session import dropped, table, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -33,8 +33,11 @@ def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
-def _panel(spark: SparkSession, d: str) -> DataFrame:
-    return written(prescience.expanding_scores(written(a.edges(spark, d), "edges"), a.quarters(spark)), "panel")
+def _panel(deals: DataFrame, spark: SparkSession) -> DataFrame:
+    edges = written(deal_ops.temporal_edges(deals).select("source", "target", "company", "weight", "source_date"), "edges")
+    panel = written(prescience.expanding_scores(edges, a.quarters(spark)), "panel")
+    dropped(edges)
+    return panel
 
 
 ENTRIES = "entries as (select investor_name, category_code as sector, min(funded_at) as first_entry_date from deals group by 1, 2)"
@@ -56,12 +59,14 @@ swarm as (select eval_date, sector, round(sum(pit / rank), 6) as ssi, count(*)::
 
 @query(sql(DEALS, EDGES, QUARTERS, EXPANDING, ENTRIES, SWARM, "select * from swarm"))
 def ssi_swarm(spark: SparkSession, d: str) -> DataFrame:
-    return _r(signals.swarm(_panel(spark, d), deal_ops.first_entries(a.deals(spark, d))), "ssi")
+    deals = written(a.deals(spark, d), "deals")
+    return _r(signals.swarm(_panel(deals, spark), deal_ops.first_entries(deals)), "ssi")
 
 
 @query(sql(DEALS, EDGES, QUARTERS, EXPANDING, ENTRIES, SWARM.replace("row_number() over (partition by q.eval_date, sector order by first_entry_date, e.investor_name)", "rank() over (partition by q.eval_date, sector order by first_entry_date) + (count(*) over (partition by q.eval_date, sector, first_entry_date) - 1) / 2.0::double"), "select * from swarm"))
 def ssi_swarm_average_ties(spark: SparkSession, d: str) -> DataFrame:
-    return _r(signals.swarm(_panel(spark, d), deal_ops.first_entries(a.deals(spark, d)), tie="average"), "ssi")
+    deals = written(a.deals(spark, d), "deals")
+    return _r(signals.swarm(_panel(deals, spark), deal_ops.first_entries(deals), tie="average"), "ssi")
 
 
 @query()
@@ -86,12 +91,13 @@ sms as (select sector, eval_date, n_expected, n_silent, top_silenced_investors,
 
 @query(sql(DEALS, EDGES, QUARTERS, EXPANDING, SEATS, "select * from seats"))
 def sms_silences(spark: SparkSession, d: str) -> DataFrame:
-    return signals.silences(a.deals(spark, d), _panel(spark, d))
+    deals = written(a.deals(spark, d), "deals")
+    return signals.silences(deals, _panel(deals, spark))
 
 
 @query(sql(DEALS, EDGES, QUARTERS, EXPANDING, SEATS, SCORES, "select sector, eval_date, n_expected, n_silent, top_silenced_investors, round(sms_score, 6) as sms_score, round(n_silent * sms_score, 6) as sms_intensity, round(sms_score / max(sms_score) over (), 6) as sms_score_norm from sms"))
 def sms_scores_by_quarter(spark: SparkSession, d: str) -> DataFrame:
-    return _r(signals.silence_scores(sms_silences(spark, d)), "sms_score", "sms_intensity", "sms_score_norm")
+    return _r(signals.silence_scores(written(sms_silences(spark, d), "seats")), "sms_score", "sms_intensity", "sms_score_norm")
 
 
 BASELINE = "bl as (select sector, avg(sms_score) as mean, greatest(stddev_pop(sms_score), 0.001) as sigma from sms_scores group by 1)"
