@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,57 +67,98 @@ def best_match(names: DataFrame, universe: DataFrame, *, name: str, known: str,
     """(name, known, score): for each distinct name the known one that equals it but for case (score 1), else the one of the highest matching ratio of at least cutoff.
 
     Names without one get none, NULLs none. Ties go to the name that the standard library prefers (the greater in lower case). Ratcliff and Obershelp's ratio
-    counts 2 M / (la + lb), M being letters in common blocks; blocks are parted by letters left over, so two names at or above the cutoff share at least
-    M - (la + lb - 2 M + 1) pairs of neighbouring letters. Names meet by their rarest pairs, so many that no such match is lost, and only those that
-    share enough pairs and letters are compared.
+    counts 2 M / (la + lb), M being letters in common blocks, so it is never above the ratio of letters that both have in any order; and blocks are parted by
+    letters left over, so the names share at least M - (la + lb - 2 M + 1) pairs of neighbouring letters. Blocks of names of like length meet; letters are
+    counted for a whole block of names at once, pairs of letters for what is left, and only the rest is compared.
     """
     n = names.select(F.col(name).alias("name")).filter("name is not null").distinct().withColumn("k", F.lower("name"))
     u = universe.select(F.col(known).alias("known")).filter("known is not null").groupBy(F.lower("known").alias("u")).agg(F.max("known").alias("known"))
     exact = n.join(u, n["k"] == u["u"]).select("name", "known", F.lit(1.0).alias("score"))
     rest = written(n.join(u.select(F.col("u").alias("k")), "k", "left_anti"), "names")
 
-    def pairs(df: DataFrame, c: str) -> DataFrame:
-        """(x, l, g): the pairs of neighbouring letters of each name, numbered where they recur."""
+    def blocks(df: DataFrame, c: str, size: int = 1000) -> DataFrame:
+        """(names, lo, hi): names of like length with the least and the greatest."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = []
-                for x in b.column("x").to_pylist():
-                    seen: dict[str, int] = {}
-                    for i in range(len(x) - 1):
-                        g = x[i : i + 2]
-                        seen[g] = seen.get(g, 0) + 1
-                        out.append((x, len(x), g if seen[g] == 1 else f"{g}{seen[g]}"))
-                    if len(x) < 2:
-                        out.append((x, len(x), x))
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["x", "l", "g"])
-
-        return df.select(F.col(c).alias("x")).distinct().mapInArrow(run, "x string, l int, g string")
-
-    known_pairs = written(pairs(u, "u"), "pairs")
-    df = known_pairs.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    mine = written(pairs(rest, "k"), "pairs")
-    # At the cutoff c: M >= c L / 2, L >= la / (1 - c / 2) at the least, so at least (1.5 c - 1) L - 1 pairs are shared.
-    least = lambda la: F.greatest(F.ceil((1.5 * cutoff - 1) * la / (1 - cutoff / 2) - 1 - 1e-9), F.lit(1))
-    w = Window.partitionBy("x").orderBy(F.coalesce("df", F.lit(0)), "g")
-    prefix = mine.join(df, "g", "left").withColumns({"r": F.row_number().over(w), "all": F.count(F.lit(1)).over(Window.partitionBy("x"))}).filter(F.col("r") <= F.col("all") - least(F.col("l")) + 1)
-    met = prefix.select("x", "l", "g").join(known_pairs.toDF("y", "m", "g"), "g").filter(2.0 * F.least("l", "m") / (F.col("l") + F.col("m")) >= cutoff).select("x", "y").distinct()
+                for k in range(0, b.num_rows, size):
+                    x = b.column("x").slice(k, size).to_pylist()
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.string())), pa.array([min(map(len, x))], pa.int32()), pa.array([max(map(len, x))], pa.int32())], names=["names", "lo", "hi"])
+
+        spark = df.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        d = df.select(F.col(c).alias("x")).distinct().repartitionByRange(parts, F.length("x")).sortWithinPartitions(F.length("x"))
+        return written(d.mapInArrow(run, "names array<string>, lo int, hi int"), "blocks")
+
+    # Of lengths l and m, the lesser is at least cutoff / (2 - cutoff) of the greater.
+    share = cutoff / (2 - cutoff) - 1e-9
+    met = blocks(rest, "k").toDF("xs", "lo", "hi").join(blocks(u, "u").toDF("ys", "from", "to"), (F.col("to") >= F.col("lo") * share) & (F.col("from") * share <= F.col("hi")))
+    met = met.select("xs", "ys").repartition(2 * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.float64(), pa.float64())
         for b in batches:
-            out = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                s = difflib.SequenceMatcher(None, y, x)  # the name comes second, as where the library tells close matches
-                r = s.ratio() if s.real_quick_ratio() >= cutoff and s.quick_ratio() >= cutoff else 0.0
-                out.append((r, difflib.SequenceMatcher(None, x, y).ratio() if r >= cutoff else 0.0))
-            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), *(pa.array([r[j] for r in out], pa.float64()) for j in (0, 1))], names=["x", "y", "s", "told"])
-
-    scored = met.mapInArrow(compare, "x string, y string, s double, told double").filter(F.col("s") >= cutoff)
+            for k in range(b.num_rows):
+                out = _alike(b.column("xs")[k].as_py(), b.column("ys")[k].as_py(), cutoff)
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["x", "y", "s", "told"])
+
+    scored = met.mapInArrow(compare, "x string, y string, s double, told double")
     best = scored.groupBy("x").agg(F.max(F.struct("s", "y", "told")).alias("b"))
     found = rest.join(best, rest["k"] == best["x"]).join(u, F.col("b.y") == u["u"]).select("name", "known", F.col("b.told").alias("score"))
     return exact.unionByName(found)
 
 
+def _alike(xs: list[str], ys: list[str], cutoff: float) -> list[tuple[str, str, float, float]]:
+    """(x, y, ratio as the library tells close matches, ratio) of the pairs whose matching ratio reaches the cutoff."""
+    both = letters_ratio(xs, ys)
+    px, py, out, m = [_pairs(x) for x in xs], [_pairs(y) for y in ys], [], difflib.SequenceMatcher(None)
+    for i, j in zip(*np.nonzero(both >= cutoff - 1e-6)):
+        x, y = xs[i], ys[j]
+        whole = len(x) + len(y)
+        if x and y and 2 * (len(px[i] & py[j]) + whole + 1) < (cutoff - 1e-9) * 3 * whole:
+            continue
+        if m.b is not x:
+            m.set_seq2(x)  # the name comes second, as where the library tells close matches
+        m.set_seq1(y)
+        r = m.ratio()
+        if r >= cutoff:
+            out.append((x, y, r, difflib.SequenceMatcher(None, x, y).ratio()))
+    return out
+
+
+def _pairs(x: str) -> set[str]:
+    """The pairs of neighbouring letters, numbered where they recur."""
+    seen: dict[str, int] = {}
+    out = set()
+    for i in range(len(x) - 1):
+        g = x[i : i + 2]
+        seen[g] = seen.get(g, 0) + 1
+        out.add(f"{g}{seen[g]}")
+    return out
+
+
+def letters_ratio(xs: list[str], ys: list[str]) -> np.ndarray:
+    """For each x and y the ratio of letters that both have, in any order: never below the matching ratio."""
+    at = {c: k for k, c in enumerate(sorted(set().union(*xs, *ys)))}
+    longest = max([0, *map(len, xs), *map(len, ys)])
+
+    def counts(names: list[str]) -> np.ndarray:
+        n = np.zeros((len(at), len(names)), np.uint8 if longest < 256 else np.int32)
+        for k, name in enumerate(names):
+            for c in name:
+                n[at[c], k] += 1
+        return n
+
+    nx, ny = counts(xs), counts(ys)
+    common = np.zeros((len(xs), len(ys)), np.uint16 if longest < 256 else np.int32)
+    for a, b in zip(nx, ny):
+        i = np.flatnonzero(a)
+        if len(i) and b.any():
+            common[i] += np.minimum(a[i][:, None], b[None, :])
+    whole = np.array([len(x) for x in xs], np.float32)[:, None] + np.array([len(y) for y in ys], np.float32)[None, :]
+    return np.where(whole > 0, 2 * common / np.maximum(whole, 1), 1.0)
+
+
 def track_record(outcomes: DataFrame, least: int = 3) -> DataFrame:
     """(horizon_days, n, hit_rate, mean_excess) of outcomes (horizon_days, direction_correct, excess); rates only from so many outcomes on."""
     enough = lambda c, x: F.when(F.count(c) >= least, x)

@@ -94,3 +94,14 @@ def test_exits_and_thinned(spark):
     assert sorted(map(tuple, profiles.exits(held, c, "k").collect())) == [("i", 2, 1, 1, 100.0), ("j", 1, 0, 0, 0.0)]
     t = profiles.thinned(spark.createDataFrame([("a", k) for k in range(7)], "k string, n int"), ["k"], ["n"], 3)
     assert [r.n for r in t.orderBy("n").collect()] == [0, 3, 6]
+
+
+def test_letters_in_common_bound_the_matching_ratio():
+    rnd = random.Random(3)
+    xs, ys = (["".join(rnd.choice("abcd é") for _ in range(rnd.randint(0, 12))) for _ in range(40)] for _ in range(2))
+    both = profiles.letters_ratio(xs, ys)
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            assert both[i, j] >= difflib.SequenceMatcher(None, y, x).ratio() - 1e-6
+    want = {(x, y) for x in xs for y in ys if difflib.SequenceMatcher(None, y, x).ratio() >= 0.78}
+    assert {(x, y) for x, y, _, _ in profiles._alike(xs, ys, 0.78)} == want
