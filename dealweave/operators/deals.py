@@ -40,6 +40,12 @@ def temporal_edges(deals: DataFrame, decay: float = DECAY) -> DataFrame:
     )
 
 
+def seats(deals: DataFrame) -> DataFrame:
+    """(company, side, node) of deals of the two round types: temporal_edges without direction, weight and time join the investors of one side with those of the other."""
+    d = deals.filter(F.col("funding_round_type").isin(*EARLIER_LATER))
+    return d.select(F.col("company_name").alias("company"), (F.col("funding_round_type") == EARLIER_LATER[1]).cast("int").alias("side"), F.col("investor_name").alias("node")).distinct()
+
+
 def validate_edges(edges: DataFrame) -> DataFrame:
     """Edges with both ends, a date and a positive weight, without loops; missing columns raise."""
     missing = {"source", "target", "company", "weight", "source_date"} - set(edges.columns)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealweave.operators.components import components
+from dealweave.operators.paths import all_pairs
 from dealweave.session import written
 
 
@@ -158,46 +159,11 @@ def approximate_diameter(und: DataFrame, sources: int = 8) -> DataFrame:
     return bfs(und, start).agg(F.max("dist").alias("approximate_diameter"))
 
 
-def exact_paths(und: DataFrame, most_nodes: int = 200_000) -> DataFrame:
-    """One row: diameter and mean distance over the largest component; raises where it has more than most_nodes nodes.
-
-    The component (bounded by most_nodes) goes to the tasks as numbers; each takes breadth-first search from 64 nodes at once, a bit for each.
-    """
-    comp = weak_components(und.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component").limit(1)
-    big = comp.join(F.broadcast(sizes), "component").select("node", "size")
-    size = (sizes.first() or {"size": 0})["size"]
-    if size > most_nodes:
-        raise ValueError(f"the largest component has {size} nodes; distances between all are taken up to {most_nodes}")
-    spark = und.sparkSession
-    if size < 2:
-        return spark.createDataFrame([(None, None)], "diameter int, mean_distance double")
-    at = written(big.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("i")), "numbered")
-    inside = und.filter("a <> b").join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").select("x", "y").toArrow()
-    x, y = inside.column("x").to_numpy(), inside.column("y").to_numpy()
-    src, dst = np.concatenate([x, y]), np.concatenate([y, x])
-    order = np.argsort(src, kind="stable")
-    sent = spark.sparkContext.broadcast((np.searchsorted(src[order], np.arange(size)), dst[order].astype(np.int32)))  # every node of it has a neighbour
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        starts, ends = sent.value
-        for pdf in batches:
-            for block in pdf["id"]:
-                source = np.arange(64 * block, min(64 * block + 64, size))
-                seen = np.zeros(size, np.uint64)
-                seen[source] = np.uint64(1) << np.arange(len(source), dtype=np.uint64)
-                front, dist, total, pairs = seen, 0, 0, 0
-                while len(ends):
-                    front = np.bitwise_or.reduceat(front[ends], starts) & ~seen
-                    n = int(np.bitwise_count(front).sum())
-                    if not n:
-                        break
-                    dist, pairs, total, seen = dist + 1, pairs + n, total + n * (dist + 1), seen | front
-                yield pd.DataFrame({"most": [dist], "total": [total], "pairs": [pairs]})
-
-    blocks = -(-size // 64)
-    by = spark.range(0, blocks, 1, min(blocks, 200)).mapInPandas(run, "most int, total long, pairs long")
-    return by.agg(F.max("most").alias("diameter"), (F.sum("total") / F.sum("pairs")).alias("mean_distance"))
+def exact_paths(und: DataFrame, most_nodes: int | None = None) -> DataFrame:
+    """One row: diameter and mean distance over the largest component (see paths); raises where it has more than most_nodes nodes, if that is given."""
+    edge = F.xxhash64("a", "b")
+    ends = F.array(F.struct(edge.alias("company"), F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(edge.alias("company"), F.lit(1).alias("side"), F.col("b").alias("node")))
+    return all_pairs(und.filter("a <> b").select(F.inline(ends)), most_nodes)
 
 
 def pagerank(graph: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:

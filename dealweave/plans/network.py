@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dealweave.operators import deals as deal_ops
-from dealweave.operators import diffusion, graph, linkpred, prescience
+from dealweave.operators import diffusion, graph, linkpred, paths, prescience
 from dealweave.operators.ranking import placed
 from dealweave.plans import adapter as a
 from dealweave.plans.adapter import BASE, DEALS, NODES, QUARTERS, UND, sql
@@ -122,7 +122,7 @@ def gra_approximate_diameter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gra_exact_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _r(graph.exact_paths(written(deal_ops.undirected(a.graph(spark, d)), "und")), "mean_distance")
+    return _r(paths.all_pairs(deal_ops.seats(a.deals(spark, d))), "mean_distance")
 
 
 @query()
