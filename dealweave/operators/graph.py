@@ -11,10 +11,13 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealweave.operators.components import components
+from dealweave.operators.moving import moved_communities
 from dealweave.operators.paths import all_pairs
 from dealweave.session import written
 
@@ -242,14 +245,31 @@ def modularity(und: DataFrame, partition: DataFrame, resolution: float = 1.0) ->
     return by.select((F.col("l") / (m2 / 2) - resolution * (F.col("d") / m2) * (F.col("d") / m2)).alias("q")).agg(F.sum("q").alias("modularity"))
 
 
-def louvain(und: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 4) -> DataFrame:
+def louvain(und: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 4, local_nodes: int = 3_000_000) -> DataFrame:
     """(node, community): local moving of all nodes of one parity at a time, then contraction, until no level improves.
 
     Deterministic: ties go to the smaller community, and only half of the nodes (by hash and round) may move in a round, which keeps neighbours
-    from swapping for ever. Labels are a node of the community.
+    from swapping for ever. Labels are a node of the community. Up to local_nodes nodes the labels go to the tasks (see moving); beyond, rounds are joins.
+    und is read several times, so it should be a table.
     """
     mapping = None
-    e = written(und.select("a", "b", "weight"), "level")
+    e = und.select("a", "b", "weight")
+    named = written(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("h", F.xxhash64("node")), "named")
+    counted = named.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("h").alias("different")).first()
+    if 0 < counted.n <= local_nodes and counted.n == counted.different:
+        t = named.toArrow()
+        t = t.take(pc.sort_indices(t.column("node")))
+        community = moved_communities(e, t.column("h").to_numpy(), resolution, rounds, levels)
+        sent = und.sparkSession.sparkContext.broadcast((t.column("h").to_numpy(), community))
+
+        def label_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, c = sent.value
+            order = np.argsort(hashes)
+            for b in batches:
+                at = order[np.searchsorted(hashes, b.column("h").to_numpy(), sorter=order)]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(hashes[c[at]])], names=["node", "h"])
+
+        return named.mapInArrow(label_of, "node string, h long").join(named.withColumnRenamed("node", "community"), "h").select("node", "community")
     for _ in range(levels):
         both = written(e.filter("a <> b").select("a", "b", "weight").union(e.filter("a <> b").select("b", "a", "weight")), "both")
         k = e.select(F.inline(F.array(F.struct(F.col("a").alias("node"), "weight"), F.struct(F.col("b").alias("node"), "weight")))).groupBy("node").agg(F.sum("weight").alias("k"))
@@ -266,7 +286,7 @@ def louvain(und: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: i
             gain = near.join(tot, "c").join(label.select("node", F.col("c").alias("mine"), "k"), "node")
             without = F.col("tot") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)
             gain = gain.withColumn("g", F.col("w") - resolution * F.col("k") * without / m2)
-            best = gain.groupBy("node").agg(F.max_by("c", F.struct(F.round("g", 9), F.col("c") == F.col("mine"))).alias("best"))
+            best = gain.groupBy("node").agg(F.min_by("c", F.struct(-F.round("g", 9), F.col("c") != F.col("mine"), "c")).alias("best"))
             may = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
             label = label.join(best, "node").select("node", F.when(may, F.col("best")).otherwise(F.col("c")).alias("c"), "k", (may & (F.col("best") != F.col("c"))).alias("moved"))
             label = written(label, "label")

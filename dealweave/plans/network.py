@@ -10,7 +10,7 @@ from dealweave.operators import diffusion, graph, linkpred, paths, prescience
 from dealweave.operators.ranking import placed
 from dealweave.plans import adapter as a
 from dealweave.plans.adapter import BASE, DEALS, NODES, QUARTERS, UND, sql
-from dealweave.session import written
+from dealweave.session import dropped, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +26,16 @@ def query(oracle: str | None = None):
     return add
 
 
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    """The graph as a table, made in steps, so the shuffle files of one are gone before those of the next."""
+    deals = written(a.deals(spark, d).select("company_name", "funding_round_type", "investor_name", "funded_at"), "deals")
+    edges = written(deal_ops.temporal_edges(deals).select("source", "target", "weight"), "edges")
+    dropped(deals)
+    g = written(deal_ops.assemble(edges), "graph")
+    dropped(edges)
+    return g
+
+
 def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -163,7 +173,10 @@ def gra_largest_clique(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def gra_louvain(spark: SparkSession, d: str) -> DataFrame:
-    return graph.louvain(deal_ops.undirected(a.graph(spark, d)))
+    g = _graph(spark, d)
+    und = written(deal_ops.undirected(g), "und")
+    dropped(g)
+    return graph.louvain(und)
 
 
 @query(
@@ -319,6 +332,6 @@ def sim_contagion(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def sim_greedy_seeds(spark: SparkSession, d: str) -> DataFrame:
-    g = written(a.graph(spark, d), "graph")
+    g = _graph(spark, d)
     picked = diffusion.greedy_influence(g, graph.top_nodes(g, 50), 5, 0.1, sims=10, rounds=20)
     return spark.createDataFrame(list(enumerate(picked, 1)), "place int, node string")

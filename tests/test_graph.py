@@ -126,3 +126,22 @@ def test_diffusion(spark, g):
     last = {r.run: r for r in diffusion.contagion(g, seeds, 1.1, 1.1, 4).filter("round = 1").collect()}
     assert last[2].infected == 1 and last[2].recovered == 1
     assert diffusion.greedy_influence(g, spark.createDataFrame([("a",), ("x",)], "node string"), 1, 1.1, sims=1) == ["a"]
+
+
+def test_communities_by_packed_lists_equal_those_by_joins(spark):
+    rnd = random.Random(3)
+    pairs = {tuple(sorted(rnd.sample(range(120), 2))) if rnd.random() < 0.2 else tuple(sorted(rnd.sample(range(12 * g, 12 * g + 12), 2))) for g in [rnd.randrange(10) for _ in range(700)]}
+    u = spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}", rnd.choice([0.5, 1.0, 2.0])) for a, b in sorted(pairs)], "a string, b string, weight double")
+    packed = {r.node: r.community for r in graph.louvain(u).collect()}
+    assert packed == {r.node: r.community for r in graph.louvain(u, local_nodes=0).collect()}
+    assert 1 < len(set(packed.values())) < 30 and set(packed.values()) <= set(packed)
+
+
+@pytest.mark.parametrize("local_nodes", [0, 10])
+def test_equal_gains_go_to_the_smaller_community(spark, local_nodes):
+    star = [("a", x, 1.0) if x > "a" else (x, "a", 1.0) for x in "bcdefghi"]
+    for order in (star, star[::-1]):
+        u = spark.createDataFrame(order, "a string, b string, weight double")
+        one = graph.louvain(u.repartition(3), rounds=1, levels=1, local_nodes=local_nodes)
+        label = {r.node: r.community for r in one.collect()}
+        assert label["a"] in ("a", "b")
