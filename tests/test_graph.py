@@ -145,3 +145,12 @@ def test_equal_gains_go_to_the_smaller_community(spark, local_nodes):
         one = graph.louvain(u.repartition(3), rounds=1, levels=1, local_nodes=local_nodes)
         label = {r.node: r.community for r in one.collect()}
         assert label["a"] in ("a", "b")
+
+
+def test_greedy_seeds_by_bits_equal_those_by_joins(spark):
+    rnd = random.Random(11)
+    e = spark.createDataFrame([(f"n{rnd.randrange(60):02d}", f"n{rnd.randrange(60):02d}") for _ in range(150)] + [("n00", "n01")] * 3, "src string, dst string")
+    some = spark.createDataFrame([(f"n{i:02d}",) for i in range(0, 60, 4)] + [("apart",)], "node string")
+    for p, rounds in ((0.3, None), (0.5, 2), (1.1, None)):
+        by_bits = diffusion.greedy_influence(e, some, 4, p, sims=3, rounds=rounds)
+        assert by_bits == diffusion.greedy_influence(e, some, 4, p, sims=3, rounds=rounds, local_edges=0) and by_bits
