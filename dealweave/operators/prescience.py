@@ -17,21 +17,25 @@ PERCENTILE = 0.8
 
 def top_tier(graph: DataFrame, percentile: float = PERCENTILE) -> DataFrame:
     """(node, in_weight, in_rank): nodes whose weighted in-degree reaches the percentile over all nodes; in_rank is relative to the largest."""
-    d = degrees(graph).select("node", "in_weight")
+    return _top_tier(degrees(graph), percentile)
+
+
+def _top_tier(degrees_: DataFrame, percentile: float) -> DataFrame:
+    d = degrees_.select("node", "in_weight")
     cut = d.agg(F.percentile("in_weight", F.lit(percentile)).alias("cut"), F.max("in_weight").alias("most"))
     return d.join(F.broadcast(cut)).filter("in_weight >= cut").select("node", "in_weight", (F.col("in_weight") / F.col("most")).alias("in_rank"))
 
 
-def static_scores(edges: DataFrame, deals: DataFrame, percentile: float = PERCENTILE) -> DataFrame:
-    """(investor, tps_raw, top_tier_targets, companies_hit, portfolio_size, tps, out_degree) over all dates."""
-    graph = assemble(edges)
-    top = top_tier(graph, percentile)
+def static_scores(edges: DataFrame, deals: DataFrame, percentile: float = PERCENTILE, known: DataFrame | None = None) -> DataFrame:
+    """(investor, tps_raw, top_tier_targets, companies_hit, portfolio_size, tps, out_degree) over all dates; known: the degrees of the edges' graph, where a table has them."""
+    known = degrees(assemble(edges)) if known is None else known
+    top = _top_tier(known, percentile)
     portfolio = deals.groupBy(F.col("investor_name").alias("investor")).agg(F.countDistinct("company_name").alias("portfolio_size"))
     hit = edges.join(top.select(F.col("node").alias("target"), "in_rank"), "target")
     raw = hit.groupBy(F.col("source").alias("investor")).agg(
         F.sum(F.col("weight") * F.col("in_rank")).alias("tps_raw"), F.countDistinct("target").alias("top_tier_targets"), F.countDistinct("company").alias("companies_hit")
     )
-    out = degrees(graph).select(F.col("node").alias("investor"), F.col("out_weight").alias("out_degree"))
+    out = known.select(F.col("node").alias("investor"), F.col("out_weight").alias("out_degree"))
     s = raw.join(portfolio, "investor", "left").join(out, "investor", "left").withColumn("portfolio_size", F.coalesce("portfolio_size", F.lit(1)))
     return s.select("investor", "tps_raw", "top_tier_targets", "companies_hit", "portfolio_size", (F.col("tps_raw") / F.col("portfolio_size")).alias("tps"), F.coalesce("out_degree", F.lit(0.0)).alias("out_degree"))
 

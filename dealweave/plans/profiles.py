@@ -13,7 +13,7 @@ from dealweave.plans import adapter as a
 from dealweave.plans.adapter import BASE, DEALS, NODES, sql
 from dealweave.plans.network import EARLY, LINKS, STATIC, TIER, tps_static
 from dealweave.plans.signals import BASELINE
-from dealweave.session import table, written
+from dealweave.session import dropped, table, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -37,8 +37,11 @@ def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 def _base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(deals, graph, scores), written."""
     deals = written(a.deals(spark, d), "deals")
-    edges = written(deal_ops.temporal_edges(deals), "edges")
-    return deals, written(deal_ops.assemble(edges), "graph"), written(prescience.static_scores(edges, deals), "scores")
+    edges = written(deal_ops.temporal_edges(deals).select("source", "target", "company", "weight"), "edges")
+    g = written(deal_ops.assemble(edges), "graph")
+    scores = written(prescience.static_scores(edges, deals, known=written(graph.degrees(g), "degrees")), "scores")
+    dropped(edges)
+    return deals, g, scores
 
 
 HOME = "home as (select investor_name as node, min(country_code) as community_id from deals group by 1)"
@@ -142,8 +145,10 @@ def biz_community_profiles(spark: SparkSession, d: str) -> DataFrame:
 def gra_community_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Profiles of the communities that local moving finds."""
     deals, g, scores = _base(spark, d)
-    part = written(graph.louvain(written(deal_ops.undirected(g), "und")).withColumnRenamed("community", "community_id"), "partition")
-    return profiles.community_profiles(part, graph.degrees(g), scores, deals)
+    degrees, und = written(graph.degrees(g), "degrees"), written(deal_ops.undirected(g), "und")
+    dropped(g)
+    part = written(graph.louvain(und).withColumnRenamed("community", "community_id"), "partition")
+    return profiles.community_profiles(part, degrees, scores, deals)
 
 
 PORTFOLIO = "mine as (select distinct investor_id as investor from silence_events where is_silent and investor_id is not null)"

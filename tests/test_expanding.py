@@ -20,3 +20,13 @@ def test_dropped_tables_leave_no_files(spark):
     assert os.path.exists(folder)
     dropped(t)
     assert not os.path.exists(folder)
+
+
+def test_scores_take_the_degrees_of_a_table(spark):
+    from dealweave.operators.deals import assemble
+    from dealweave.operators.graph import degrees
+
+    edges = spark.createDataFrame([("a", "b", "c", 1.0), ("a", "d", "c", 0.5), ("b", "d", "e", 0.5)], "source string, target string, company string, weight double")
+    deals = spark.createDataFrame([("a", "c"), ("b", "c"), ("d", "c"), ("b", "e"), ("d", "e")], "investor_name string, company_name string")
+    known = written(degrees(assemble(edges)), "degrees")
+    assert sorted(prescience.static_scores(edges, deals, known=known).collect()) == sorted(prescience.static_scores(edges, deals).collect()) != []
