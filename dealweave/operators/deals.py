@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DECAY = 0.3
@@ -24,11 +24,11 @@ def round_table(deals: DataFrame) -> DataFrame:
 def temporal_edges(deals: DataFrame, decay: float = DECAY) -> DataFrame:
     """One row for each investor of an earlier round and another investor of a later round of one company, with a weight that decays by the gap.
 
-    Rounds of one day go in the order of their type. Joined by company on (round, investor) rows, so no round is held whole.
+    Rounds of one day go in the order of their type. Deals are shuffled once, by company; joined on (round, investor) rows there, so no round is held whole.
     """
-    seats = deals.select("company_name", "funding_round_type", "investor_name").distinct()
-    dates = deals.groupBy("company_name", "funding_round_type").agg(F.min("funded_at").alias("round_date"))
-    s = seats.join(dates, ["company_name", "funding_round_type"])
+    there = deals.filter(F.col("company_name").isNotNull() & F.col("funding_round_type").isNotNull())
+    seats = there.select("company_name", "funding_round_type", "investor_name", "funded_at").repartition("company_name").groupBy("company_name", "funding_round_type", "investor_name").agg(F.min("funded_at").alias("first"))
+    s = seats.withColumn("round_date", F.min("first").over(Window.partitionBy("company_name", "funding_round_type"))).drop("first")
     a, b = s.alias("a"), s.alias("b")
     order = lambda x: F.struct(F.col(f"{x}.round_date"), F.col(f"{x}.funding_round_type"))
     met = a.join(b, (F.col("a.company_name") == F.col("b.company_name")) & (order("a") < order("b")) & (F.col("a.investor_name") != F.col("b.investor_name")))

@@ -61,7 +61,7 @@ def expanding_scores(edges: DataFrame, dates: DataFrame, percentile: float = PER
     seen = edges.filter(F.col(edge_time).isNotNull()).select("source", "target", "company", "weight", first_seen(0, len(days)).alias("i")).filter(F.col("i") < len(days))
     # Distinct companies of an investor's outgoing edges, by the first date that saw each.
     grown = seen.groupBy("source", "company").agg(F.min("i").alias("i")).groupBy("source", "i").agg(F.count(F.lit(1)).alias("n"))
-    grown = written(grown, "portfolios")
+    grown = written(grown, "portfolios", "zstd")
     # A pair's weight holds from its step to its next one. All of a target's pairs lie in one partition, so the steps after this need no shuffle.
     steps = seen.select("source", "target", "weight", "i").repartition("target").groupBy("target", "source", "i").agg(F.sum("weight").alias("w"))
     pair = Window.partitionBy("target", "source").orderBy("i")
@@ -70,7 +70,7 @@ def expanding_scores(edges: DataFrame, dates: DataFrame, percentile: float = PER
     added = units.select("target", "i", (F.col("u") - F.lag("u", 1, 0).over(pair)).alias("d")).groupBy("target", "i").agg(F.sum("d").alias("d"))
     ends = added.withColumnRenamed("target", "node").unionByName(grown.select(F.col("source").alias("node"), "i", F.lit(0).cast("long").alias("d")))
     weights = F.array(*[F.sum(F.when(F.col("i") <= j, F.col("d"))) for j in range(len(days))])  # NULL before the node's first edge
-    node = written(ends.groupBy("node").agg(weights.alias("iw")), "nodes")
+    node = written(ends.groupBy("node").agg(weights.alias("iw")), "nodes", "zstd")
 
     known = node.agg(*[F.count(F.col("iw")[j]).alias(f"n{j}") for j in range(len(days))], *[F.max(F.col("iw")[j]).alias(f"m{j}") for j in range(len(days))]).first()
     at = {j: percentile * (known[f"n{j}"] - 1) for j in range(len(days)) if known[f"n{j}"]}
@@ -84,11 +84,12 @@ def expanding_scores(edges: DataFrame, dates: DataFrame, percentile: float = PER
         return F.array(*[F.lit(x).cast("double") for x in of])
 
     cut, most = listed([cuts.get(j) for j in range(len(days))]), listed([None if known[f"m{j}"] is None else known[f"m{j}"] / 1e6 for j in range(len(days))])
-    tier = node.select("node", F.transform("iw", lambda v, j: F.when(v / F.lit(1e6) >= cut[j], v)).alias("iw"))  # NULL where it isn't of the top tier
+    held = "array<int>" if max([0, *(known[f"m{j}"] or 0 for j in range(len(days)))]) < 1 << 31 else "array<long>"  # the narrowest that holds all weights
+    tier = node.select("node", F.transform("iw", lambda v, j: F.when(v / F.lit(1e6) >= cut[j], v)).cast(held).alias("iw"))  # NULL where it isn't of the top tier
     hit = state.join(tier.filter(F.exists("iw", lambda v: v.isNotNull())).withColumnRenamed("node", "target"), "target")
     hit = hit.select("source", "i", "raw", F.slice("iw", F.col("i") + 1, F.col("until") - F.col("i")).alias("iw"), F.lit(None).cast("long").alias("n")).filter(F.exists("iw", lambda v: v.isNotNull()))
     # Weights travel as one array a pair, and portfolios beside them; dates are told apart where an investor's rows have met.
-    sizes = grown.select("source", "i", F.lit(None).cast("double").alias("raw"), F.array(F.lit(0).cast("long")).alias("iw"), "n")
+    sizes = grown.select("source", "i", F.lit(None).cast("double").alias("raw"), F.array(F.lit(0)).cast(held).alias("iw"), "n")
     met = hit.unionByName(sizes).repartition("source").select("source", "i", "raw", "n", F.posexplode("iw").alias("k", "v")).filter("v is not null").withColumn("j", F.col("i") + F.col("k"))
     s = met.groupBy("source", "j").agg(F.sum(F.col("raw") * (F.col("v") / F.lit(1e6) / most[F.col("j")])).alias("tps_raw"), F.sum("n").alias("n"))
     s = s.withColumn("size", F.sum("n").over(Window.partitionBy("source").orderBy("j"))).filter((F.col("tps_raw").isNotNull()) & (F.col("size") >= min_portfolio))

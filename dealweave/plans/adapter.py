@@ -19,11 +19,13 @@ def deals(spark: SparkSession, d: str) -> DataFrame:
     order = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     part = table(spark, d, "part").select("p_partkey", "p_type")
     cust = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
-    j = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(cust, F.col("o_custkey") == F.col("c_custkey"))
-    return j.select(
+    # The last join leaves the rows by part, so repeated ones meet there without a shuffle of their own.
+    j = line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).join(cust, F.col("o_custkey") == F.col("c_custkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    one = j.select("l_partkey", "o_custkey", "l_linenumber", F.col("o_orderdate").cast("date").alias("funded_at"), "p_type", "n_name").distinct()
+    return one.select(
         F.concat(F.lit("I"), "o_custkey").alias("investor_name"), F.concat(F.lit("C"), "l_partkey").alias("company_name"), F.when(F.col("l_linenumber") == 1, "series-a").otherwise("series-b").alias("funding_round_type"),
-        F.col("o_orderdate").cast("date").alias("funded_at"), F.col("p_type").alias("category_code"), F.col("n_name").alias("country_code"),
-    ).distinct()
+        "funded_at", F.col("p_type").alias("category_code"), F.col("n_name").alias("country_code"),
+    )
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:

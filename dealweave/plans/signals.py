@@ -34,8 +34,8 @@ def _r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 
 def _panel(deals: DataFrame, spark: SparkSession) -> DataFrame:
-    edges = written(deal_ops.temporal_edges(deals).select("source", "target", "company", "weight", "source_date"), "edges")
-    panel = written(prescience.expanding_scores(edges, a.quarters(spark)), "panel")
+    edges = written(deal_ops.temporal_edges(deals).select("source", "target", "company", "weight", "source_date"), "edges", "zstd")
+    panel = written(prescience.expanding_scores(edges, a.quarters(spark)), "panel", "zstd")
     dropped(edges)
     return panel
 
@@ -59,13 +59,13 @@ swarm as (select eval_date, sector, round(sum(pit / rank), 6) as ssi, count(*)::
 
 @query(sql(DEALS, EDGES, QUARTERS, EXPANDING, ENTRIES, SWARM, "select * from swarm"))
 def ssi_swarm(spark: SparkSession, d: str) -> DataFrame:
-    deals = written(a.deals(spark, d), "deals")
+    deals = written(a.deals(spark, d), "deals", "zstd")
     return _r(signals.swarm(_panel(deals, spark), deal_ops.first_entries(deals)), "ssi")
 
 
 @query(sql(DEALS, EDGES, QUARTERS, EXPANDING, ENTRIES, SWARM.replace("row_number() over (partition by q.eval_date, sector order by first_entry_date, e.investor_name)", "rank() over (partition by q.eval_date, sector order by first_entry_date) + (count(*) over (partition by q.eval_date, sector, first_entry_date) - 1) / 2.0::double"), "select * from swarm"))
 def ssi_swarm_average_ties(spark: SparkSession, d: str) -> DataFrame:
-    deals = written(a.deals(spark, d), "deals")
+    deals = written(a.deals(spark, d), "deals", "zstd")
     return _r(signals.swarm(_panel(deals, spark), deal_ops.first_entries(deals), tie="average"), "ssi")
 
 
@@ -91,7 +91,7 @@ sms as (select sector, eval_date, n_expected, n_silent, top_silenced_investors,
 
 @query(sql(DEALS, EDGES, QUARTERS, EXPANDING, SEATS, "select * from seats"))
 def sms_silences(spark: SparkSession, d: str) -> DataFrame:
-    deals = written(a.deals(spark, d), "deals")
+    deals = written(a.deals(spark, d), "deals", "zstd")
     return signals.silences(deals, _panel(deals, spark))
 
 

@@ -30,3 +30,26 @@ def test_scores_take_the_degrees_of_a_table(spark):
     deals = spark.createDataFrame([("a", "c"), ("b", "c"), ("d", "c"), ("b", "e"), ("d", "e")], "investor_name string, company_name string")
     known = written(degrees(assemble(edges)), "degrees")
     assert sorted(prescience.static_scores(edges, deals, known=known).collect()) == sorted(prescience.static_scores(edges, deals).collect()) != []
+
+
+def test_edges_shuffle_their_deals_once_and_leave_out_what_has_no_company_or_round(spark):
+    from pyspark.sql import functions as F
+
+    from dealweave.operators.deals import temporal_edges
+
+    d = [dt.date(2020, 1, k) for k in range(1, 9)]
+    rows = [("a", "c", "series-a", d[3]), ("a", "c", "series-a", d[1]), ("b", "c", "series-a", d[5]), ("a", "c", "series-b", d[6]), ("e", "c", "series-b", d[7]), ("x", None, "series-a", d[0]), ("y", None, "series-b", d[1]), ("x", "c", None, d[0]), ("u", "n", "series-a", None), ("v", "n", "series-b", d[2]), ("v", "o", "series-a", d[2]), ("w", "o", "series-b", d[2])]
+    deals = written(spark.createDataFrame(rows, "investor_name string, company_name string, funding_round_type string, funded_at date"), "deals")
+    edges = temporal_edges(deals)
+    got = sorted((r.source, r.target, r.company, r.source_date, r.target_date) for r in edges.collect())
+    by_join = [("a", "e", "c", d[1], d[6]), ("b", "a", "c", d[1], d[6]), ("b", "e", "c", d[1], d[6]), ("u", "v", "n", None, d[2]), ("v", "w", "o", d[2], d[2])]
+    assert [x[:3] for x in got] == [x[:3] for x in by_join] and [x for x in got if x[0] != "u"] == [x for x in by_join if x[0] != "u"]
+    edges = temporal_edges(deals).select("source", "target", F.col("weight"))
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # one for each side of the join, and these are equal
+
+
+def test_weights_beyond_an_int_keep_their_value(spark):
+    day = dt.date(2020, 1, 1)
+    edges = spark.createDataFrame([("s", "big", "c", 3000.0, day), ("t", "small", "d", 1.0, day)], "source string, target string, company string, weight double, source_date date")
+    got = {r.investor: r.tps for r in prescience.expanding_scores(edges, spark.createDataFrame([(day,)], "eval_date date"), percentile=0.0).collect()}
+    assert got["s"] == 3000.0 and abs(got["t"] - 1 / 3000) < 1e-12
