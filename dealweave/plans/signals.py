@@ -12,7 +12,7 @@ from dealweave.operators.ranking import placed
 from dealweave.plans import adapter as a
 from dealweave.plans.adapter import DEALS, EDGES, QUARTERS, sql
 from dealweave.plans.network import EXPANDING
-from dealweave.session import dropped, table, written
+from dealweave.session import collected, dropped, table, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +37,7 @@ def _panel(deals: DataFrame, spark: SparkSession) -> DataFrame:
     edges = written(deal_ops.temporal_edges(deals).select("source", "target", "company", "weight", "source_date"), "edges", "zstd")
     panel = written(prescience.expanding_scores(edges, a.quarters(spark)), "panel", "zstd")
     dropped(edges)
+    collected(spark)  # the scores' own plan is gone by now
     return panel
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import time
 
 from dealweave.operators import prescience
 from dealweave.session import dropped, written
@@ -53,3 +54,17 @@ def test_weights_beyond_an_int_keep_their_value(spark):
     edges = spark.createDataFrame([("s", "big", "c", 3000.0, day), ("t", "small", "d", 1.0, day)], "source string, target string, company string, weight double, source_date date")
     got = {r.investor: r.tps for r in prescience.expanding_scores(edges, spark.createDataFrame([(day,)], "eval_date date"), percentile=0.0).collect()}
     assert got["s"] == 3000.0 and abs(got["t"] - 1 / 3000) < 1e-12
+
+
+def test_shuffle_files_of_an_ended_query_go_when_a_large_table_is_written(spark, monkeypatch):
+    from dealweave import session
+
+    monkeypatch.setattr(session, "COLLECT_BYTES", -1)
+    status = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    session.collected(spark)
+    time.sleep(1)
+    before = status()
+    for _ in range(5):
+        written(spark.range(1000).repartition(3, "id"), "some")
+    time.sleep(1)
+    assert status() <= before
