@@ -75,7 +75,7 @@ def ssi_event_panel(spark: SparkSession, d: str) -> DataFrame:
     alphas = stats.rolling_alpha(a.returns(spark, d), a.factors(spark, d), a.MEASURES)
     of = {"1-URGENT": "STANDARD", "2-HIGH": "ECONOMY", "3-MEDIUM": "PROMO", "4-NOT SPECIFIED": "LARGE", "5-LOW": "MEDIUM"}
     named = alphas.withColumn("sector", F.create_map(*[F.lit(x) for kv in of.items() for x in kv])[F.col("series")])
-    return signals.event_panel(ssi_swarm(spark, d), written(named, "alphas"))
+    return signals.event_panel(written(ssi_swarm(spark, d), "swarm"), written(named, "alphas"))
 
 
 SEATS = """a_seat as (select distinct company_name, investor_name, category_code as sector, funded_at as series_a_date from deals where funding_round_type = 'series-a'),
