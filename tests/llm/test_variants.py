@@ -30,3 +30,21 @@ def test_all_alike_words_meet(spark):
     words = sorted(words)
     got = {(r.x, r.y) for r in alike_words(spark.createDataFrame([(w,) for w in words], "w string")).collect()}
     assert got == {(a, b) for a in words for b in words if a != b and alike(a, b) > 0}
+
+
+def test_words_of_a_key_meet_in_one_pass_over_batches(spark):
+    from dealweave.llm.variants import _sharing, left_by_deletions
+
+    rnd = random.Random(7)
+    rows = sorted({("".join(rnd.choice("abc") for _ in range(rnd.randint(3, 7))), rnd.choice([*range(40), 99, 99])) for _ in range(900)})
+    want = {(a, b) for a, k in rows for b, h in rows if k == h and a < b and abs(len(a) - len(b)) <= 2}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        posted = spark.createDataFrame(rows, "w string, k long")
+        for most in (1_000_000, 5):
+            got = [(r.x, r.y) for r in _sharing(posted, most).collect()]
+            assert set(got) == want and len(got) == sum(1 for a, k in rows for b, h in rows if k == h and a < b and abs(len(a) - len(b)) <= 2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # Words of fewer than seven letters are alike within one edit, so one deletion is enough.
+    assert len(left_by_deletions("abcdef")) == 7 and left_by_deletions("abcdef") & left_by_deletions("abdcef") and left_by_deletions("abcdef") & left_by_deletions("abxcdefy")
