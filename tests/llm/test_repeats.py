@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from dealweave.llm.repeats import Deliveries, entity_keys, points
 
@@ -50,3 +51,16 @@ def test_cells_of_time_meet_at_their_edges(spark):
     edges = [x for k in range(1, 5) for x in (30 * k * DAY - DAY, 30 * k * DAY + DAY, 30 * k * DAY + 7 * DAY)]
     got = deliveries(spark, [[news(i, "Budrofikemu Tundra", t) for i, t in enumerate(edges, 1)]])
     assert got == {(1 + 3 * k, 2 + 3 * k) for k in range(4)}
+
+
+def test_points_are_shuffled_few_times(spark):
+    # Each row is shuffled once for each join and once for all its comparisons, not by window, and in few columns.
+    rnd = random.Random(3)
+    name = lambda: "".join(rnd.choice("bdgkmnrtvz") + rnd.choice("aeiou") for _ in range(5)).title() + " Tundra"
+    names = [name() for _ in range(6000)]
+    rows = [(i, n, None, name(), None, "series-a", None, rnd.randrange(2000) * DAY + rnd.randrange(DAY), dt.datetime(2020, 1, 1)) for i, n in enumerate(names, 1)]
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = sent()
+    deliveries(spark, [rows[:3000], rows[3000:]])
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sent() - before < 350 * len(rows)
